@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevia.llm import consensus as C
+from relevia.llm import lookalike
 from relevia.llm import splits as S
 from relevia.llm import topn
 from relevia.sources import table
@@ -59,7 +60,14 @@ def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
     return fam.join(S.deal_splits(fam, "group_key").select("group_key", "split"), "group_key").select("qid", "group_key", "split")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits)}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of chunks, and of queries, that look the same in print."""
+    chunks = table(spark, sf, "chunks").select(F.lit("chunks").alias("field"), F.col("cid").alias("number"), F.col("cid").cast("string").alias("key"), "text")
+    asked = table(spark, sf, "queries").select(F.lit("queries"), F.lit(0).cast("bigint"), "qid", "query")
+    return lookalike.lookalike_pairs(chunks.union(asked), "field", "key", "number", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits, p4_found)}
 
 ORACLES = {
     "p1_found": """
