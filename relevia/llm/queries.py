@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relevia.llm import bpe, lookalike
 from relevia.llm import consensus as C
-from relevia.llm import lookalike
 from relevia.llm import splits as S
 from relevia.llm import topn
 from relevia.sources import table
@@ -67,7 +67,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalike_pairs(chunks.union(asked), "field", "key", "number", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits, p4_found)}
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The token ids of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.encode_corpus(docs, "doc_id", "text", bpe.ranks_of(spark))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits, p4_found, p6_ids)}
 
 ORACLES = {
     "p1_found": """
