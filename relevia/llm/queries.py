@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relevia.llm import bpe, levels, lookalike
+from relevia.llm import bpe, leaks, levels, lookalike
 from relevia.llm import consensus as C
 from relevia.llm import splits as S
 from relevia.llm import topn
@@ -73,6 +73,12 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(docs, "doc_id", "text", bpe.ranks_of(spark))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that give away test items."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return leaks.leaked_items(docs, "doc_id", "text", table(spark, sf, "eval_items"), "item_id", ["question", "passage"])
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """The reading level of every document of running prose."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -80,7 +86,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", F.col("level").alias("reading_level"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits, p4_found, p6_ids, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits, p4_found, p6_ids, p7_found, p8_found)}
 
 ORACLES = {
     "p1_found": """
