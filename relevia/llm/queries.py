@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relevia.llm import bpe, leaks, levels, lookalike
+from relevia.llm import bpe, leaks, levels, lookalike, ocr
 from relevia.llm import consensus as C
 from relevia.llm import splits as S
 from relevia.llm import topn
@@ -67,6 +67,16 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalike_pairs(chunks.union(asked), "field", "key", "number", "text")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The kinds of scan noise in every chunk."""
+    return ocr.repair_scans(table(spark, sf, "chunks")).noise
+
+
+def p5_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The repaired text of every scanned chunk."""
+    return ocr.repair_scans(table(spark, sf, "chunks")).text
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The token ids of every document."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -86,7 +96,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", F.col("level").alias("reading_level"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits, p4_found, p6_ids, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits, p4_found, p5_found, p5_text, p6_ids, p7_found, p8_found)}
 
 ORACLES = {
     "p1_found": """
