@@ -62,7 +62,7 @@ def page_value(numbers: pd.Series) -> pd.Series:
     return numbers.map(value).astype("Int32")
 
 
-def furniture(pages: DataFrame, shares: float = 0.2, alike: float = 0.3) -> DataFrame:
+def furniture(pages: DataFrame, shares: float = 0.1, alike: float = 0.3) -> DataFrame:
     """(cid, slot, header, pageno) of the edge lines that are page furniture; slots 0 and 1 from the top, -1 and -2 from the end.
 
     A header is an edge line whose letters stand on two pages or more and on ``shares`` of the document's, without the
