@@ -1,4 +1,6 @@
 """Registered queries of the core operators and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from relevia.plans import evaluation
+
+QUERIES: dict = {**evaluation.QUERIES}
+ORACLES: dict = {**evaluation.ORACLES}
