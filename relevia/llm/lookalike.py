@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relevia.sources import materialize
+
 # Letters that look alike, as Latin, Cyrillic, Greek; "-" where a script has none.
 LATIN = "aceijopsxyABCEHIJKMNOPSTXYZ"
 CYRILLIC = "асеіјорѕхуАВСЕНІЈКМ-ОРЅТХ--"
@@ -28,6 +30,7 @@ FOREIGN = "".join(c for c in LIKE if not c.isascii() and not "А" <= c <= "я")
 
 WORD = r"[\p{L}\p{M}\p{N}\p{Cf}]"
 ODD = rf"[\p{{Cf}}\p{{M}}\r{BLANKS}！-～ﬀ-ﬆ\u212a{FOREIGN}]"
+UNUSUAL = "[^\n -~А-Яа-яЁё№«»—]"
 MIXED = r"[A-Za-z][0-9]*[А-Яа-яЁё]|[А-Яа-яЁё][0-9]*[A-Za-z]"
 
 
@@ -165,35 +168,49 @@ def normalize_lookalikes(texts: DataFrame, keys: list[str], text: str, most: int
     characters or mixed scripts runs through its trie by the edit automaton and takes the commonest spelling reached at
     no cost, else the form by table. Words made of shared letters alone take the script of the first letter of the text
     that only one script has. Blanks become spaces, CR LF a line feed; case, stress marks, ё, raised digits and
-    punctuation stay. Null texts are left out, empty ones stay empty, repeated (keys, text) rows count once."""
-    rows = texts.select(*keys, F.col(text).alias("t")).where("t is not null").distinct()
+    punctuation stay. Null texts are left out, empty ones stay empty; repeated (keys, text) rows come once if unusual, else as often
+    as they are."""
+    ks = [f"k{i}" for i in range(len(keys))]
+    rows = texts.select(*[F.col(k).alias(x) for k, x in zip(keys, ks)], F.col(text).alias("t")).where("t is not null")
     wide = ONLY_LATIN.translate(str.maketrans(ASCII, FULL))
     lead = F.regexp_extract("t", f"[{ONLY_LATIN}{wide}{ONLY_CYRILLIC}]", 0)
     cyr = lead.rlike(f"[{ONLY_CYRILLIC}]")
-    astray = F.when(cyr, F.col("t").rlike(_alone(SHARED_LATIN))).otherwise(F.col("t").rlike(_alone(SHARED_CYRILLIC)))
-    rows = rows.select(*keys, "t", cyr.alias("cyr"), (F.col("t").rlike(ODD) | F.col("t").rlike(MIXED) | astray).alias("odd"))
-    clean, odd = rows.where("not odd"), rows.where("odd")
+    both = F.col("t").rlike("[A-Za-z]") & F.col("t").rlike("[А-Яа-яЁё]")
+    astray = F.when(cyr, F.col("t").rlike("[A-Za-z]") & F.col("t").rlike(_alone(SHARED_LATIN))).otherwise(F.col("t").rlike("[А-Яа-яЁё]") & F.col("t").rlike(_alone(SHARED_CYRILLIC)))
+    # the simple classes come first: most texts need no more than one look at them
+    odd_text = (F.col("t").rlike(UNUSUAL) & F.col("t").rlike(ODD)) | (both & F.col("t").rlike(MIXED)) | astray
+    clean = rows.where(~odd_text)
+    odd = rows.where(odd_text).select(*ks, "t", cyr.alias("cyr"), F.xxhash64("t").alias("h")).dropDuplicates([*ks, "h"])
+    odd = materialize(odd.withColumn("id", F.monotonically_increasing_id()))
 
     words = clean.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-zА-Яа-яЁё]+"), 0))).alias("word"))
     whole = F.col("word").rlike(f"[{ONLY_LATIN}{ONLY_CYRILLIC}]")
     vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(whole)
 
-    pieces = odd.select(*keys, "cyr", F.xxhash64("t").alias("h"), F.posexplode(F.regexp_extract_all("t", F.lit(f"{WORD}+|[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Cf}}]+"), 0)).alias("pos", "piece"))
-    strange = F.col("piece").rlike(f"^{WORD}") & (F.col("piece").rlike(ODD) | F.col("piece").rlike(MIXED))
-    pieces = pieces.withColumn("word", F.when(strange, F.col("piece")))
-    tokens = pieces.where("word is not null").select("word").distinct().select("word", F.lit(-1).cast("bigint").alias("n"))
-    both = vocabulary.unionByName(tokens).withColumn("bucket", _bucket(F.col("word")))
-    both = both.repartition("bucket").sortWithinPartitions("bucket", F.desc("n"))
-    forms = both.select("bucket", "word", "n").mapInPandas(lambda f: _match(f, most), "word string, form string")
+    def strange(piece: Column) -> Column:
+        return piece.rlike(f"^{WORD}") & (piece.rlike(ODD) | piece.rlike(MIXED))
+
+    pieces = F.regexp_extract_all("t", F.lit(f"{WORD}+|[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Cf}}]+"), 0)
+    cut = odd.select(*ks, "id", "cyr", "t", F.transform(pieces, lambda p, i: F.struct(i.alias("pos"), p.alias("form"), strange(p).alias("odd"))).alias("p"))
+    tokens = cut.select("id", F.explode(F.filter("p", lambda x: x["odd"])).alias("x")).select("id", F.col("x.pos").alias("pos"), F.col("x.form").alias("word"))
+    unknown = tokens.select("word").distinct().select("word", F.lit(-1).cast("bigint").alias("n"))
+    bucketed = vocabulary.unionByName(unknown).withColumn("bucket", _bucket(F.col("word")))
+    bucketed = bucketed.repartition("bucket").sortWithinPartitions("bucket", F.desc("n"))
+    forms = bucketed.select("bucket", "word", "n").mapInPandas(lambda f: _match(f, most), "word string, form string")
+
+    def plain(piece: Column) -> Column:
+        return F.regexp_replace(F.translate(piece, BLANKS + FULL, " " * len(BLANKS) + ASCII), "\r\n?", "\n")
+
+    def scripted(form: Column) -> Column:
+        shared = form.rlike(f"^[0-9{SHARED_LATIN}{SHARED_CYRILLIC}]+$")
+        return F.when(~shared, form).when(F.col("cyr"), F.translate(form, SHARED_LATIN, SHARED_CYRILLIC)).otherwise(F.translate(form, SHARED_CYRILLIC, SHARED_LATIN))
 
-    plain = F.regexp_replace(F.translate(F.col("piece"), BLANKS + FULL, " " * len(BLANKS) + ASCII), "\r\n?", "\n")
-    form = F.coalesce("form", plain)
-    only_shared = form.rlike(f"^[0-9{SHARED_LATIN}{SHARED_CYRILLIC}]+$")
-    form = F.when(~only_shared, form).when(F.col("cyr"), F.translate(form, SHARED_LATIN, SHARED_CYRILLIC)).otherwise(F.translate(form, SHARED_CYRILLIC, SHARED_LATIN))
-    put = pieces.join(forms, "word", "left").select(*keys, "h", F.struct("pos", form.alias("form")).alias("p"))
-    built = put.groupBy(*keys, "h").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["form"]), "").alias("c"))
-    built = built.select(*keys, "h", "c").join(odd.select(*keys, "t", F.xxhash64("t").alias("h")), [*keys, "h"])
-    return clean.select(*keys, F.col("t").alias(text), F.col("t").alias("canonical")).unionByName(built.select(*keys, F.col("t").alias(text), F.col("c").alias("canonical")))
+    named = tokens.join(forms, "word").groupBy("id").agg(F.collect_list(F.struct("pos", "form")).alias("q"))
+    rest = F.transform(F.filter("p", lambda x: ~x["odd"]), lambda x: F.struct(x["pos"].alias("pos"), plain(x["form"]).alias("form")))
+    whole = cut.join(named, "id", "left").select(*ks, "t", "cyr", F.array_sort(F.concat(rest, F.coalesce("q", F.array().cast("array<struct<pos:int,form:string>>")))).alias("p"))
+    built = whole.select(*ks, "t", F.array_join(F.transform("p", lambda x: scripted(x["form"])), "").alias("c"))
+    out = clean.select(*ks, "t", F.col("t").alias("c")).unionByName(built)
+    return out.select(*[F.col(x).alias(k) for k, x in zip(keys, ks)], F.col("t").alias(text), F.col("c").alias("canonical"))
 
 
 def lookalike_pairs(texts: DataFrame, field: str, key: str, number: str, text: str) -> DataFrame:
@@ -202,7 +219,7 @@ def lookalike_pairs(texts: DataFrame, field: str, key: str, number: str, text: s
     The pair is ordered by the column ``number``, then by the key in byte order. Texts travel as digests."""
     canon = normalize_lookalikes(texts, [field, number, key], text)
     d = canon.select(F.col(field).alias("f"), F.col(number).alias("o"), F.col(key).alias("k"), F.md5(text).alias("t"), F.md5("canonical").alias("c")).where("k is not null")
-    d = d.distinct()
+    d = materialize(d.distinct())
     mixed = d.groupBy("f", "c").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("f", "c")
     d = d.join(mixed, ["f", "c"], "left_semi")
     a, b = d.alias("a"), d.alias("b")
