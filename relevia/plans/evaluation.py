@@ -9,23 +9,12 @@ from relevia.functions import text as T
 from relevia.operators import grades as G
 from relevia.operators import inference as I
 from relevia.operators import ranking as R
+from relevia.plans.register import register
 from relevia.sources import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    """Register a query under its name, with its SQL where there is one."""
-
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+query = register(QUERIES, ORACLES)
 
 RANKING = r"""
     last as (select run_id, qid, results from responses_hybrid

@@ -1,6 +1,6 @@
 """Registered queries of the core operators and their SQL counterparts."""
 
-from relevia.plans import evaluation
+from relevia.plans import evaluation, search
 
-QUERIES: dict = {**evaluation.QUERIES}
-ORACLES: dict = {**evaluation.ORACLES}
+QUERIES: dict = {**evaluation.QUERIES, **search.QUERIES}
+ORACLES: dict = {**evaluation.ORACLES, **search.ORACLES}
