@@ -63,11 +63,20 @@ def loses_words(words: Column, limit: int) -> Column:
     return F.exists(words, lambda w: F.octet_length(w) >= limit)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where it is used inside another lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def grams(words: Column, n: int = 3) -> Column:
     """Distinct n-grams; fewer words than n make one gram of all of them, no words none."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    made = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(made)
+
+    def made(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+        joined = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " ")))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(joined)
+
+    return once(words, made)
 
 
 def own_text(text: Column) -> Column:
