@@ -17,13 +17,13 @@ SCHEMA = "key string, level int, nodes array<int>"
 def running_prose(text: Column) -> Column:
     """The text without the rows of tables: lines of two bars or more, or with a cell of figures only."""
     rows = r"(?m)^[^\n|]*(?:\|[^\n|]*){2,}$|^[^\n]*\|[ \t]*[-+\d.,% ]+(?:\|[^\n]*)?$|^(?:[^\n\t]*\t){2,}[^\n]*$"
-    return F.regexp_replace(text, rows, "")
+    return F.when(text.rlike(r"[|\t]"), F.regexp_replace(text, rows, "")).otherwise(text)
 
 
 def sentences(prose: Column) -> Column:
     """How many sentences: stretches up to an end mark or line end with two words of two letters or more."""
     parts = F.split(prose, r"(?<=[.!?…])\s+|\n")
-    return F.size(F.filter(parts, lambda s: s.rlike(r"\p{L}{2}.*?[^\p{L}]\p{L}{2}")))
+    return F.size(F.filter(parts, lambda s: s.rlike(r"\p{L}{2}[^\p{L}]+(?:\p{L}[^\p{L}]+)*\p{L}{2}")))
 
 
 def word_nodes(prose: Column, bits: int) -> Column:
