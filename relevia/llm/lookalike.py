@@ -16,7 +16,7 @@ LATIN = "aceijopsxyABCEHIJKMNOPSTXYZ"
 CYRILLIC = "асеіјорѕхуАВСЕНІЈКМ-ОРЅТХ--"
 GREEK = "-----ο----ΑΒ-ΕΗΙ-ΚΜΝΟΡ-ΤΧΥΖ"
 # Blanks of one width or another, characters without a shape, joined letters.
-BLANKS = "\t              　"
+BLANKS = "\t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
@@ -30,8 +30,7 @@ FOREIGN = "".join(c for c in LIKE if not c.isascii() and not "А" <= c <= "я")
 
 WORD = r"[\p{L}\p{M}\p{N}\p{Cf}]"
 ODD = rf"[\p{{Cf}}\p{{M}}\r{BLANKS}！-～ﬀ-ﬆ\u212a{FOREIGN}]"
-UNUSUAL = "[^\n -~А-Яа-яЁё№«»—]"
-MIXED = r"[A-Za-z][0-9]*[А-Яа-яЁё]|[А-Яа-яЁё][0-9]*[A-Za-z]"
+LATIN_CYRILLIC, CYRILLIC_LATIN = "[A-Za-z][0-9]*[А-ё]", "[А-ё][0-9]*[A-Za-z]"
 
 
 def _alone(letters: str) -> str:
@@ -45,7 +44,7 @@ def shape(c: str) -> str:
 
 
 def ignorable(c: str) -> bool:
-    return unicodedata.category(c) == "Cf" or c == "͏" or "︀" <= c <= "️"
+    return unicodedata.category(c) == "Cf" or c == "\u034f" or "\ufe00" <= c <= "\ufe0f"
 
 
 def expand(token: str) -> str:
@@ -175,39 +174,41 @@ def normalize_lookalikes(texts: DataFrame, keys: list[str], text: str, most: int
     wide = ONLY_LATIN.translate(str.maketrans(ASCII, FULL))
     lead = F.regexp_extract("t", f"[{ONLY_LATIN}{wide}{ONLY_CYRILLIC}]", 0)
     cyr = lead.rlike(f"[{ONLY_CYRILLIC}]")
-    both = F.col("t").rlike("[A-Za-z]") & F.col("t").rlike("[А-Яа-яЁё]")
-    astray = F.when(cyr, F.col("t").rlike("[A-Za-z]") & F.col("t").rlike(_alone(SHARED_LATIN))).otherwise(F.col("t").rlike("[А-Яа-яЁё]") & F.col("t").rlike(_alone(SHARED_CYRILLIC)))
-    # the simple classes come first: most texts need no more than one look at them
-    odd_text = (F.col("t").rlike(UNUSUAL) & F.col("t").rlike(ODD)) | (both & F.col("t").rlike(MIXED)) | astray
+    t = F.col("t")
+    # one pass settles most texts: nothing but letters of the leading script and ordinary signs
+    other = F.when(cyr, ~t.rlike(r"^[\n -@\[-`{-~А-ё№]*+\z")).otherwise(~t.rlike(r"^[\n -~№]*+\z"))
+    astray = F.when(cyr, t.rlike(_alone(SHARED_LATIN))).otherwise(t.rlike(_alone(SHARED_CYRILLIC)))
+    mixed = t.rlike(LATIN_CYRILLIC) | t.rlike(CYRILLIC_LATIN)
+    odd_text = other & ((~t.rlike(r"^[\n -~А-ё№«»—]*+\z") & t.rlike(ODD)) | mixed | astray)
     clean = rows.where(~odd_text)
     odd = rows.where(odd_text).select(*ks, "t", cyr.alias("cyr"), F.xxhash64("t").alias("h")).dropDuplicates([*ks, "h"])
     odd = materialize(odd.withColumn("id", F.monotonically_increasing_id()))
 
-    words = clean.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-zА-Яа-яЁё]+"), 0))).alias("word"))
+    words = clean.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]+|[А-ё]+"), 0))).alias("word"))
     whole = F.col("word").rlike(f"[{ONLY_LATIN}{ONLY_CYRILLIC}]")
     vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(whole)
 
     def strange(piece: Column) -> Column:
-        return piece.rlike(f"^{WORD}") & (piece.rlike(ODD) | piece.rlike(MIXED))
+        return ~piece.rlike(r"^(?:[0-9A-Za-z]*+|[0-9А-ё]*+)\z") & piece.rlike(f"^{WORD}")
 
-    pieces = F.regexp_extract_all("t", F.lit(f"{WORD}+|[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Cf}}]+"), 0)
-    cut = odd.select(*ks, "id", "cyr", "t", F.transform(pieces, lambda p, i: F.struct(i.alias("pos"), p.alias("form"), strange(p).alias("odd"))).alias("p"))
-    tokens = cut.select("id", F.explode(F.filter("p", lambda x: x["odd"])).alias("x")).select("id", F.col("x.pos").alias("pos"), F.col("x.form").alias("word"))
+    flat = F.regexp_replace(F.translate("t", BLANKS + FULL, " " * len(BLANKS) + ASCII), "\r\n?", "\n")
+    pieces = F.regexp_extract_all(flat, F.lit(r"[0-9A-Za-zА-ё\p{L}\p{M}\p{N}\p{Cf}]++|[ ,.\n]++|[^\p{L}\p{M}\p{N}\p{Cf}]++"), 0)
+    parts = F.transform(pieces, lambda p, i: F.struct(i.alias("pos"), p.alias("form"), strange(p).alias("odd")))
+    cut = odd.select("id", F.filter(parts, lambda x: x["odd"]).alias("p"))
+    tokens = cut.select("id", F.explode("p").alias("x")).select("id", F.col("x.pos").alias("pos"), F.col("x.form").alias("word"))
     unknown = tokens.select("word").distinct().select("word", F.lit(-1).cast("bigint").alias("n"))
     bucketed = vocabulary.unionByName(unknown).withColumn("bucket", _bucket(F.col("word")))
     bucketed = bucketed.repartition("bucket").sortWithinPartitions("bucket", F.desc("n"))
     forms = bucketed.select("bucket", "word", "n").mapInPandas(lambda f: _match(f, most), "word string, form string")
 
-    def plain(piece: Column) -> Column:
-        return F.regexp_replace(F.translate(piece, BLANKS + FULL, " " * len(BLANKS) + ASCII), "\r\n?", "\n")
-
     def scripted(form: Column) -> Column:
         shared = form.rlike(f"^[0-9{SHARED_LATIN}{SHARED_CYRILLIC}]+$")
         return F.when(~shared, form).when(F.col("cyr"), F.translate(form, SHARED_LATIN, SHARED_CYRILLIC)).otherwise(F.translate(form, SHARED_CYRILLIC, SHARED_LATIN))
 
     named = tokens.join(forms, "word").groupBy("id").agg(F.collect_list(F.struct("pos", "form")).alias("q"))
-    rest = F.transform(F.filter("p", lambda x: ~x["odd"]), lambda x: F.struct(x["pos"].alias("pos"), plain(x["form"]).alias("form")))
-    whole = cut.join(named, "id", "left").select(*ks, "t", "cyr", F.array_sort(F.concat(rest, F.coalesce("q", F.array().cast("array<struct<pos:int,form:string>>")))).alias("p"))
+    found = odd.join(named, "id", "left").select(*ks, "t", "cyr", "q", parts.alias("p"))
+    rest = F.transform(F.filter("p", lambda x: ~x["odd"]), lambda x: F.struct(x["pos"].alias("pos"), x["form"].alias("form")))
+    whole = found.select(*ks, "t", "cyr", F.array_sort(F.concat(rest, F.coalesce("q", F.array().cast("array<struct<pos:int,form:string>>")))).alias("p"))
     built = whole.select(*ks, "t", F.array_join(F.transform("p", lambda x: scripted(x["form"])), "").alias("c"))
     out = clean.select(*ks, "t", F.col("t").alias("c")).unionByName(built)
     return out.select(*[F.col(x).alias(k) for k, x in zip(keys, ks)], F.col("t").alias(text), F.col("c").alias("canonical"))
