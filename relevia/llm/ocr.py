@@ -24,7 +24,8 @@ MARKS = "\\-¬‐\u00ad"
 LABEL = r"^(?:Документ|Раздел): "
 NUMBER = r"[0-9OОoоlIЗзSБбB]{1,4}|[ivxlcdmIVXLCDM]{1,8}"
 PAGE = rf"^[\s\-–—\[(]*(?:(?:стр|с|page|p)\b\.?\s*)?({NUMBER})(?:\s*(?:/|из|of)\s*[0-9]{{1,4}})?[\s\-–—\])]*$"
-WORD = r"[\p{L}\p{N}]+(?:!\p{L}+)*"
+WORD = r"[0-9A-Za-zА-ё\p{L}\p{N}]++(?:!\p{L}++)*+"
+TOKEN = r"[0-9A-Za-zА-ё\p{L}\p{N}]++(?:[-!][0-9A-Za-zА-ё\p{L}\p{N}]++)*+"
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
@@ -119,13 +120,14 @@ def following(bodies: DataFrame, run: int = 512) -> DataFrame:
 
 def vocabulary(texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """Counts of words, and of neighbouring parts of hyphened words, over all texts; words cut at a line end don't count."""
-    cut = rf"\S+[{MARKS}]\r?\n\s*\S+"
+    cut = rf"(?<!\p{{L}})\p{{L}}++[{MARKS}]\r?\n\s*\S*"
     low = F.lower(F.when(F.col(text).rlike(rf"[{MARKS}]\r?\n"), F.regexp_replace(F.col(text), cut, " ")).otherwise(F.col(text)))
-    rows = texts.select(low.alias("t"))
-    words = rows.select(F.explode(F.regexp_extract_all("t", F.lit(WORD), 0)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    parts = rows.where(F.col("t").contains("-")).select(F.explode(F.regexp_extract_all("t", F.lit(r"\p{L}+(?:-\p{L}+)+"), 0)).alias("w")).groupBy("w").count()
-    pairs = parts.withColumn("p", F.split("w", "-")).select("count", F.explode(F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.struct(F.get("p", i).alias("a"), F.get("p", i + 1).alias("b")))).alias("x"))
-    return materialize(words), materialize(pairs.groupBy("x.a", "x.b").agg(F.sum("count").alias("n")))
+    found = F.regexp_extract_all(low, F.lit(TOKEN), 0)
+    whole = materialize(texts.select(F.explode(found).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    words = whole.select("n", F.explode(F.regexp_extract_all("w", F.lit(WORD), 0)).alias("word")).groupBy("word").agg(F.sum("n").alias("n"))
+    parts = whole.where(F.col("w").contains("-") & ~F.col("w").rlike(r"[^-\p{L}]")).select(F.split("w", "-").alias("p"), "n")
+    pairs = parts.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.struct(F.get("p", i).alias("a"), F.get("p", i + 1).alias("b")))).alias("x"))
+    return materialize(words), materialize(pairs.groupBy("x.a", "x.b").agg(F.sum("n").alias("n")))
 
 
 # -- skip-gram vectors ------------------------------------------------------------------------------------------------
