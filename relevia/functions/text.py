@@ -103,7 +103,7 @@ def is_code(token: Column) -> Column:
 
 def junk_title(title: Column) -> Column:
     """Titles that say nothing: empty, file names of word processors, numbers, untitled."""
-    return F.coalesce(F.trim(title), F.lit("")).rlike(r"(?iu)^(?:|untitled|без названия|документ\d*|document\d*|microsoft .*|[\d\W_]+|.*\.(?:docx?|pptx?|pdf|xlsx?|txt))$")
+    return F.coalesce(F.trim(title), F.lit("")).rlike(r"(?iu)^(?:|untitled|без названия|документ\d*|document\d*|microsoft .*|[^\p{L}]+|.*\.(?:docx?|pptx?|pdf|xlsx?|txt))$")
 
 
 def has_emoji(text: Column) -> Column:
@@ -123,21 +123,21 @@ def filled(value: Column, kind: str = "string") -> Column:
 
 def numbers_in(text: Column) -> Column:
     """Signed numbers with blanks between thousands and a decimal comma or point, as doubles in order."""
-    found = F.regexp_extract_all(text, F.lit(r"[-−]?\d{1,3}(?:[    ]\d{3})+(?:[.,]\d+)?|[-−]?\d+(?:[.,]\d+)?"), 0)
-    plain = F.transform(found, lambda x: F.regexp_replace(F.translate(x, "−,", "-."), "[    ]", "").try_cast("double"))
+    found = F.regexp_extract_all(text, F.lit(r"[-−]?\d{1,3}(?:[ \u00a0\u2009\u202f]\d{3})+(?:[.,]\d+)?|[-−]?\d+(?:[.,]\d+)?"), 0)
+    plain = F.transform(found, lambda x: F.regexp_replace(F.translate(x, "−,", "-."), "[ \u00a0\u2009\u202f]", "").try_cast("double"))
     return F.filter(plain, lambda x: x.isNotNull())
 
 
 def sums_in(text: Column) -> Column:
     """Grouped or at least four-digit whole numbers of 1000 or more that are no years, as text without blanks."""
-    found = F.regexp_extract_all(text, F.lit(r"\d{1,3}(?:[    ]\d{3})+|\d{4,}"), 0)
-    bare = F.transform(found, lambda x: F.regexp_replace(x, "[    ]", ""))
+    found = F.regexp_extract_all(text, F.lit(r"\d{1,3}(?:[ \u00a0\u2009\u202f]\d{3})+|\d{4,}"), 0)
+    bare = F.transform(found, lambda x: F.regexp_replace(x, "[ \u00a0\u2009\u202f]", ""))
     return F.array_distinct(F.filter(bare, lambda x: ~x.rlike("^(?:19|20)[0-9]{2}$") & (x.try_cast("double") >= 1000)))
 
 
 def human_dates(iso: Column) -> Column:
     """The two written forms of an ISO date, ``1 января 2025`` and ``01.01.2025``; null for other text."""
-    d = F.try_to_date(iso, F.lit("yyyy-MM-dd"))
+    d = F.try_to_date(iso, "yyyy-MM-dd")
     month = F.element_at(F.array(*map(F.lit, MONTHS)), F.month(d))
     return F.when(d.isNotNull(), F.array(F.concat_ws(" ", F.day(d).cast("string"), month, F.year(d).cast("string")), F.date_format(d, "dd.MM.yyyy")))
 

@@ -1,0 +1,22 @@
+"""Responses that arrive file by file, appended once per question and run.
+
+The reference data has no event-time windows; what it has is a job that is stopped and resumed. Structured Streaming's
+checkpoint plays that part: a restart takes up where the last micro-batch ended, and the anti-join within a batch keeps
+questions from being written twice."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from relevia.sources.sinks import append_new
+
+
+def append_responses(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str, keys: tuple[str, ...] = ("run_id", "qid")) -> StreamingQuery:
+    """Take all new JSON files of ``folder`` and append the responses whose keys aren't in ``target`` yet, then end."""
+    arriving = spark.readStream.schema(schema).json(folder)
+
+    def write(batch: DataFrame, _: int) -> None:
+        append_new(batch, target, list(keys))
+
+    return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
