@@ -1,6 +1,6 @@
 """Registered queries of the core operators and their SQL counterparts."""
 
-from relevia.plans import corpus, evaluation, search
+from relevia.plans import corpus, evaluation, pools, search
 
-QUERIES: dict = {**evaluation.QUERIES, **search.QUERIES, **corpus.QUERIES}
-ORACLES: dict = {**evaluation.ORACLES, **search.ORACLES, **corpus.ORACLES}
+QUERIES: dict = {**evaluation.QUERIES, **search.QUERIES, **corpus.QUERIES, **pools.QUERIES}
+ORACLES: dict = {**evaluation.ORACLES, **search.ORACLES, **corpus.ORACLES, **pools.ORACLES}
