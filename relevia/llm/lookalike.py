@@ -34,8 +34,8 @@ LATIN_CYRILLIC, CYRILLIC_LATIN = "[A-Za-z][0-9]*[А-ё]", "[А-ё][0-9]*[A-Za-z]
 
 
 def _alone(letters: str) -> str:
-    """A word of nothing but ``letters`` and digits, with a letter in it."""
-    return rf"(?<!{WORD})[0-9]*[{letters}][0-9{letters}]*(?!{WORD})"
+    """A word of nothing but ``letters`` and digits, with a letter in it, among plain letters."""
+    return rf"(?<![0-9A-Za-zА-ё])[0-9]*+[{letters}][0-9{letters}]*+(?![0-9A-Za-zА-ё])"
 
 
 def shape(c: str) -> str:
@@ -193,9 +193,7 @@ def normalize_lookalikes(texts: DataFrame, keys: list[str], text: str, most: int
 
     flat = F.regexp_replace(F.translate("t", BLANKS + FULL, " " * len(BLANKS) + ASCII), "\r\n?", "\n")
     pieces = F.regexp_extract_all(flat, F.lit(r"[0-9A-Za-zА-ё\p{L}\p{M}\p{N}\p{Cf}]++|[ ,.\n]++|[^\p{L}\p{M}\p{N}\p{Cf}]++"), 0)
-    parts = F.transform(pieces, lambda p, i: F.struct(i.alias("pos"), p.alias("form"), strange(p).alias("odd")))
-    cut = odd.select("id", F.filter(parts, lambda x: x["odd"]).alias("p"))
-    tokens = cut.select("id", F.explode("p").alias("x")).select("id", F.col("x.pos").alias("pos"), F.col("x.form").alias("word"))
+    tokens = odd.select("id", F.posexplode(F.filter(pieces, strange)).alias("pos", "word"))
     unknown = tokens.select("word").distinct().select("word", F.lit(-1).cast("bigint").alias("n"))
     bucketed = vocabulary.unionByName(unknown).withColumn("bucket", _bucket(F.col("word")))
     bucketed = bucketed.repartition("bucket").sortWithinPartitions("bucket", F.desc("n"))
@@ -205,11 +203,13 @@ def normalize_lookalikes(texts: DataFrame, keys: list[str], text: str, most: int
         shared = form.rlike(f"^[0-9{SHARED_LATIN}{SHARED_CYRILLIC}]+$")
         return F.when(~shared, form).when(F.col("cyr"), F.translate(form, SHARED_LATIN, SHARED_CYRILLIC)).otherwise(F.translate(form, SHARED_CYRILLIC, SHARED_LATIN))
 
-    named = tokens.join(forms, "word").groupBy("id").agg(F.collect_list(F.struct("pos", "form")).alias("q"))
-    found = odd.join(named, "id", "left").select(*ks, "t", "cyr", "q", parts.alias("p"))
-    rest = F.transform(F.filter("p", lambda x: ~x["odd"]), lambda x: F.struct(x["pos"].alias("pos"), x["form"].alias("form")))
-    whole = found.select(*ks, "t", "cyr", F.array_sort(F.concat(rest, F.coalesce("q", F.array().cast("array<struct<pos:int,form:string>>")))).alias("p"))
-    built = whole.select(*ks, "t", F.array_join(F.transform("p", lambda x: scripted(x["form"])), "").alias("c"))
+    # the k-th strange word is put back at the k-th gap of the text
+    named = tokens.join(forms, "word").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]).alias("q"))
+    gap = "\x00"
+    rest = F.transform(pieces, lambda x: F.when(strange(x), F.lit(gap)).otherwise(scripted(F.replace(x, F.lit(gap), F.lit(" ")))))
+    found = odd.join(named, "id", "left").select(*ks, "t", "cyr", F.coalesce("q", F.array().cast("array<string>")).alias("q"), F.split(F.array_join(rest, ""), gap).alias("p"))
+    filled = F.zip_with("p", F.transform("q", scripted), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    built = found.select(*ks, "t", F.array_join(filled, "").alias("c"))
     out = clean.select(*ks, "t", F.col("t").alias("c")).unionByName(built)
     return out.select(*[F.col(x).alias(k) for k, x in zip(keys, ks)], F.col("t").alias(text), F.col("c").alias("canonical"))
 
