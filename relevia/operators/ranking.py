@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevia.functions import text as T
+from relevia.sources import materialize
 
 RELEVANT = 2
 METRICS = ["ndcg", "hit_1", "hit_k", "mrr", "recall"]
@@ -67,9 +68,9 @@ def per_query(ranking: DataFrame, grades: DataFrame, spine: DataFrame, k: int =
         F.count_if(good).alias("found"),
         F.count_if(F.col("grade").isNull()).alias("unjudged"),
     )
-    runs = ranking.select("run_id").distinct()
+    got = materialize(got)
     all_ = spine.select("qid").distinct().join(ideal_gain(grades, k), "qid", "left")
-    names = [r.run_id for r in runs.collect()]  # a handful: the runs that are compared
+    names = [r.run_id for r in got.select("run_id").distinct().collect()]  # a handful: the runs that are compared
     full = all_.withColumn("run_id", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
     rows = full.join(got, ["run_id", "qid"], "left")
     return rows.select(

@@ -10,7 +10,7 @@ from relevia.operators import grades as G
 from relevia.operators import inference as I
 from relevia.operators import ranking as R
 from relevia.plans.register import register
-from relevia.sources import table
+from relevia.sources import materialize, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -61,7 +61,7 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
 
 def grades(spark: SparkSession, sf: str) -> DataFrame:
     named = merged(spark, sf).join(table(spark, sf, "judge_pair").select("pid", "qid", "doc_id").distinct(), "pid")
-    return G.resolve(named, table(spark, sf, "judged"))
+    return materialize(G.resolve(named, table(spark, sf, "judged")))
 
 
 def per_query(spark: SparkSession, sf: str) -> DataFrame:
