@@ -98,7 +98,28 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits, p4_found, p5_found, p5_text, p6_ids, p7_found, p8_found)}
 
+_OLD = "".join(k for k, v in lookalike.LIKE.items() if k != v) + "ёЁ"
+_NEW = "".join(v for k, v in lookalike.LIKE.items() if k != v) + "ëË"
+
 ORACLES = {
+    "p3_found": """
+        with recursive raw as (select qid, regexp_replace(trim(lower(qid), ' ' || chr(9)), '^q_', 'ai_') as k,
+                                      regexp_replace(trim(lower(base), ' ' || chr(9)), '^q_', 'ai_') as b from queries where qid is not null),
+             link as (select k, b from raw where b not in ('', '-', '—', 'n/a', 'na', 'none', 'null', 'нет') and b <> k),
+             e as (select k as x, b as y from link union select b, k from link),
+             reach(x, y) as (select k, k from raw union select r.x, e.y from reach r join e on r.y = e.x),
+             least as (select x, min(y) as g from reach group by 1)
+        select qid, min(g) as group_key from raw join least on k = x group by 1""",
+    "p4_found": f"""
+        with t as (select 'chunks' as field, cid as number, cast(cid as varchar) as key, text from chunks
+                   union all select 'queries', 0, qid, query from queries),
+             c as (select distinct field, number, key, text,
+                          translate(nfc_normalize(translate(regexp_replace(replace(replace(text, chr(64257), 'fi'), chr(13) || chr(10), chr(10)),
+                              '[\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}\\x{{00AD}}]', '', 'g'),
+                              '{lookalike.BLANKS + lookalike.FULL}', '{" " * len(lookalike.BLANKS) + lookalike.ASCII.replace("'", "''")}')), '{_OLD}', '{_NEW}') as canon
+                   from t where text is not null and key is not null)
+        select distinct a.field, a.key as key_1, b.key as key_2 from c a join c b
+          on a.field = b.field and a.canon = b.canon and a.text <> b.text and (a.number < b.number or (a.number = b.number and a.key < b.key))""",
     "p1_found": """
         with r as (select qid, unnest(results) as x from responses_hybrid where http = 200 and qid is not null),
              d as (select qid, regexp_replace(x.absolute_path, '^.*?/corpus/', '', 's') as doc_id, max(x.score) as score
