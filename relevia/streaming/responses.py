@@ -1,7 +1,6 @@
 """Responses that arrive file by file, appended once per question and run.
 
-The reference data has no event-time windows; what it has is a job that is stopped and resumed. Structured Streaming's
-checkpoint plays that part: a restart takes up where the last micro-batch ended, and the anti-join within a batch keeps
+A search run is a job that may be stopped and resumed. Structured Streaming's checkpoint plays that part: a restart takes up where the last micro-batch ended, and the anti-join within a batch keeps
 questions from being written twice."""
 
 from __future__ import annotations
