@@ -31,21 +31,32 @@ def overlapping_pages(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     return b.join(a, ["doc_id", "page"]).select("span", "cid").distinct()
 
 
-def stitched(chunks: DataFrame, by: list[str]) -> DataFrame:
-    """(by, text): chunk texts of a unit in the order of their places, overlaps cut once, others joined by line feeds.
-
-    A chunk that lies wholly in what is already there adds nothing; chunks without a place come last, by number."""
-    rows = chunks.where("text is not null").select(*by, F.struct(F.col("char_start").isNull().alias("late"), "char_start", "idx", "cid", "char_end", "text").alias("c")).distinct()
-    ordered = rows.groupBy(*by).agg(F.sort_array(F.collect_list("c")).alias("cs"))
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("int").alias("end"))
-
-    def add(s, c):  # noqa: ANN001, ANN202
-        cut = s["end"] - c["char_start"]
-        placed = c["char_start"].isNotNull() & s["end"].isNotNull() & (cut >= 0)
-        joined = F.when(placed, F.concat(s["text"], F.substring(c["text"], F.greatest(cut, F.lit(0)) + 1, F.length(c["text"])))).when(s["text"] == "", c["text"]).otherwise(F.concat(s["text"], F.lit("\n"), c["text"]))
-        return F.struct(joined.alias("text"), F.greatest(s["end"], c["char_end"]).alias("end"))
-
-    return ordered.select(*by, F.aggregate("cs", start, add)["text"].alias("text"))
+def stitched(chunks: DataFrame, by: list[str], run: int = 512) -> DataFrame:
+    """(by, piece, text): chunk texts of a unit in the order of their places, overlaps cut once, others joined by line feeds.
+
+    A chunk that lies wholly in what is already there adds nothing; chunks without a place come last, by number. A unit
+    comes in pieces numbered from 0, whose texts put one after another are its text; up to ``run`` chunks are one piece.
+    Only the ends and sizes of cells (stretches of places or numbers) are ordered over a whole unit; they tell what lies
+    before a piece, so that no unit is collected whole. Grouping by structs keeps units with a null in ``by``."""
+    late, low = F.col("char_start").isNull(), F.lit(-(2**62))
+    place = F.coalesce(F.when(late, F.floor(F.col("idx") / run)).otherwise(F.floor(F.col("char_start") / 2**14)), low)
+    number = F.coalesce(F.when(late & F.col("idx").isNull(), F.floor(F.col("cid") / run)), low)
+    order = ["late", "char_start", "idx", "cid", "char_end"]
+    rows = chunks.where("text is not null").select(F.struct(*by).alias("u"), F.struct(late.alias("late"), place.alias("place"), number.alias("number")).alias("cell"), late.alias("late"), *order[1:], "text")
+
+    slim = rows.groupBy("u", "cell", *order).agg(F.max(F.length("text")).alias("long"))
+    cells = slim.groupBy("u", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("char_end").alias("end"), F.max("long").alias("long"))
+    earlier = Window.partitionBy("u").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("part", F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / run)).withColumns({"far": F.max("end").over(earlier), "seen": F.max("long").over(earlier)})
+    whole = Window.partitionBy("u", "part").orderBy("cell")
+    cells = cells.select("u", "cell", (F.dense_rank().over(Window.partitionBy("u").orderBy("part")) - 1).alias("piece"), F.first("far").over(whole).alias("far"), F.first("seen").over(whole).alias("seen"))
+
+    r = rows.join(cells, ["u", "cell"]).select("u", "piece", "far", "seen", *order, "text").repartition("u", "piece").distinct()
+    before = Window.partitionBy("u", "piece").orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumns({"cut": F.greatest("far", F.max("char_end").over(before)) - F.col("char_start"), "some": F.greatest("seen", F.max(F.length("text")).over(before)) > 0})
+    added = F.when(F.col("cut") >= 0, F.substring("text", F.col("cut") + 1, F.length("text"))).when(F.col("some"), F.concat(F.lit("\n"), "text")).otherwise(F.col("text"))
+    texts = r.select("u", "piece", F.struct(*order, "text", added.alias("added")).alias("c")).groupBy("u", "piece").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    return texts.select(*[F.col("u")[c].alias(c) for c in by], "piece", F.array_join(F.transform("cs", lambda c: c["added"]), "").alias("text"))
 
 
 def cards(manifest: DataFrame) -> DataFrame:

@@ -121,8 +121,8 @@ def parent_units(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def stitched_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """The text of every section as one piece, overlaps cut once."""
-    c = table(spark, sf, "chunks").where("section is not null and kind = 'text' and doc_id is not null")
+    """The text of every section, whatever the kinds of its chunks, overlaps cut once; sections of over 512 chunks in numbered pieces."""
+    c = table(spark, sf, "chunks").where("section is not null and doc_id is not null")
     return U.stitched(c, ["doc_id", "section"])
 
 

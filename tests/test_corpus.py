@@ -1,9 +1,12 @@
 """Quality and text units on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from relevia.operators import quality as Q
 from relevia.operators import units as U
+from relevia.plans.corpus import stitched_sections
 
 KIND = "cid long, doc_id string, idx int, text string, kind string, section string, table_id string, page_start int, page_end int, char_start int, char_end int"
 
@@ -48,6 +51,31 @@ def test_units(spark):
     assert {(x.unit, x.key): x.chunks for x in U.parents(c).collect()} == {("page", "1"): 2, ("page", "3"): 1, ("page", "2"): 1, ("table", "t"): 1}
 
 
+def test_stitched_sections_of_all_kinds_in_pieces(spark, tmp_path):
+    rows = [(1, "d", 1, "ab", "text", "s", None, None, None, 0, 2), (2, "d", 2, "row", "table_row", "s", "t"), (3, "d", 3, "table", "table", "s", "t"), (4, "d", 4, "bc", "notes", "s", None, None, None, 1, 3), (5, "d", 5, "odd", None, "s"), (6, "d", 6, "x", "text", None)]
+    chunks(spark, rows).write.parquet(f"{tmp_path}/chunks.parquet")
+    assert [(x.doc_id, x.section, x.piece, x.text) for x in stitched_sections(spark, str(tmp_path)).collect()] == [("d", "s", 0, "abc\nrow\ntable\nodd")]
+
+
+def test_stitched_pieces_are_the_whole(spark):
+    r = random.Random(3)
+    rows = [(i, d, r.choice([i, i, None]), "".join(r.choice("abc") for _ in range(n)), r.choice(["text", "table"]), s, None, None, None, *((at, at + n) if at is not None else (None, None)))
+            for i in range(400) for d in [r.choice(["d", "d", None])] for s in [r.choice(["s", "s", "z"])] for n in [r.choice([0, 5, 400, 20_000])] for at in [r.choice([None, r.randrange(300_000)])]]
+    want = {}
+    low = lambda x: (x is not None, x or 0)
+    for x in sorted(rows, key=lambda x: (x[9] is None, low(x[9]), low(x[2]), x[0])):
+        text, end = want.get((x[1], x[5]), ("", None))
+        cut = end - x[9] if end is not None and x[9] is not None else -1
+        text = text + x[3][cut:] if cut >= 0 else text + "\n" + x[3] if text else x[3]
+        want[x[1], x[5]] = text, max(end or 0, x[10]) if x[10] is not None else end
+    for run in (4, 512):
+        got = {}
+        for x in sorted(U.stitched(chunks(spark, rows + rows[:50]), ["doc_id", "section"], run).collect(), key=lambda x: x.piece):
+            got.setdefault((x.doc_id, x.section), []).append(x)
+        assert {k: "".join(x.text for x in v) for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all([x.piece for x in v] == list(range(len(v))) and (len(v) > 5) == (run == 4) for v in got.values())
+
+
 def test_cards_splitting_and_numbers(spark):
     m = spark.createDataFrame([("a/Отчёт 5.pdf", "p", "a", "pdf", "Отчёт 5", "k5"), ("a/Отчёт 5.pdf", "p", "a", "pdf", "Отчёт 5", "k5")], "doc_id string, path string, dataset string, format string, title string, key string")
     assert [x.text for x in U.cards(m).collect()] == ["Документ: Отчёт 5\nРаздел: a\nКлюч: k5"]
