@@ -132,9 +132,9 @@ def encoded_words(texts: DataFrame, text: str, ranks: dict[bytes, int], long: in
 
 
 def _assemble(batches: Iterator[pa.RecordBatch], words: pa.Array, first: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Lists of words to lists of ids by lookup; a text with a word outside ``words`` gets null."""
+    """Keys and digests as they are, lists of words to lists of ids by lookup; a text with a word outside ``words`` gets null."""
     for batch in batches:
-        lists = batch.column(1)
+        lists = batch.column(2)
         flat = lists.flatten()
         at = pc.index_in(flat, words)
         known = np.asarray(at.is_valid())
@@ -149,7 +149,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], words: pa.Array, first: np.ndar
         misses = np.concatenate([[0], np.cumsum(~known)])[bounds]
         whole = misses[1:] == misses[:-1]
         made = pa.ListArray.from_arrays(pa.array(edges), pa.array(out, pa.int32()), mask=pa.array(~whole))
-        yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["key", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["key", "h", "ids"])
 
 
 def encode_corpus(texts: DataFrame, key: str, text: str, ranks: dict[bytes, int], table_words: int = 100_000, table_bytes: int = 64) -> DataFrame:
@@ -157,20 +157,22 @@ def encode_corpus(texts: DataFrame, key: str, text: str, ranks: dict[bytes, int]
 
     Only distinct words are merged. The ``table_words`` most frequent words of at most ``table_bytes`` bytes go to every
     task (a bound of about 32 MB) and texts made of them are put together where they lie; texts with any other word are
-    taken apart, joined with the words' ids and put together again. Keys may repeat; other columns are ignored."""
+    taken apart, joined with the words' ids and put together again. Which way a row goes depends on its text alone, so
+    keys may repeat or be null; other columns are ignored."""
     rows = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    hashed = rows.withColumn("h", F.sha2("t", 256))
     words = encoded_words(rows, "t", ranks)
     common = words.where(F.octet_length("word") <= table_bytes).orderBy(F.desc("n"), "word").limit(table_words)
     top = common.select("word", "ids").toArrow()
     lists = top.column("ids").combine_chunks()
     first, ids = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values).astype(np.int32)
     shared = rows.sparkSession.sparkContext.broadcast((top.column("word").combine_chunks(), first - first[0], ids))
-    near = rows.select("key", words_of(F.col("t")).alias("w")).mapInArrow(lambda b: _assemble(b, *shared.value), f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>")
+    near = hashed.select("key", "h", words_of(F.col("t")).alias("w")).mapInArrow(lambda b: _assemble(b, *shared.value), f"key {rows.schema['key'].dataType.simpleString()}, h string, ids array<int>")
     if words.count() > top.num_rows:
-        far = rows.join(near.where("ids is null").select("key").distinct(), "key", "left_semi").withColumn("h", F.sha2("t", 256))
-        parts = far.dropDuplicates(["h"]).select("h", F.posexplode(words_of(F.col("t"))).alias("pos", "word"))
+        far = materialize(near.where("ids is null").select("key", "h"))
+        parts = hashed.join(far.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).select("h", F.posexplode(words_of(F.col("t"))).alias("pos", "word"))
         built = parts.join(words.select("word", "ids"), "word").groupBy("h").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-        near = near.where("ids is not null").unionByName(far.join(built, "h").select("key", "ids"))
+        near = near.where("ids is not null").select("key", "ids").unionByName(far.join(built, "h").select("key", "ids"))
     return near.select(F.col("key").alias(key), "ids")
 
 

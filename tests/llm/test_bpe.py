@@ -47,3 +47,12 @@ def test_empty_table_and_repeated_keys(spark, ranks):
     assert bpe.encode_corpus(spark.createDataFrame([], kind), "id", "text", ranks).count() == 0
     twice = bpe.encode_corpus(spark.createDataFrame([(1, "a b"), (1, "a b")], kind), "id", "text", ranks)
     assert [x.ids for x in twice.collect()] == reference(["a b"]) * 2
+
+
+def test_null_and_repeated_keys_by_join(spark, ranks):
+    rows = [(None, "a b"), (None, "a rareword"), (1, "a b"), (1, "a otherword"), (1, "a otherword"), (1, None), (2, "a b a b")]
+    rows += [(k, "a b a b a b") for k in range(10, 15)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    want = sorted((str(k), i) for (k, _), i in zip(rows, reference([t or "" for _, t in rows])))
+    for words in (100_000, 10, 3):  # the five different words are all shared; then only the commonest
+        assert sorted((str(x.id), x.ids) for x in bpe.encode_corpus(df, "id", "text", ranks, words).collect()) == want
