@@ -142,7 +142,10 @@ def split_documents(spark: SparkSession, sf: str) -> DataFrame:
     d as (select qid, cluster, string_split(sha1('split' || chr(0) || cluster), '') as h from c)
     select qid, cluster, case when list_sum(list_transform(h, lambda x: instr('0123456789abcdef', x) - 1)) % 3 = 0 then 'test' else 'dev' end as part from d""")
 def dev_test_split(spark: SparkSession, sf: str) -> DataFrame:
-    """A split of two thirds and one third that keeps families of questions together."""
+    """A split of two thirds and one third by the hash of a question's own base (one hop, see ``clusters``).
+
+    Questions of the same stated base stay together; families that hang together through other spellings or chains of
+    bases may be torn. ``p3_splits`` keeps whole families."""
     c = evaluation.clusters(spark, sf)
     return c.select("qid", "cluster", F.when(T.hash_third("split", F.col("cluster")) == 0, "test").otherwise("dev").alias("part"))
 

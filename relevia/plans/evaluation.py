@@ -70,7 +70,10 @@ def per_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, cluster): the base of a query, or the query itself."""
+    """(qid, cluster): the base of a query, or the query itself.
+
+    One hop, as SQL has it: blanks and tabs around a base don't count, ``q_`` and ``ai_`` are different spellings, the base
+    of a base isn't followed, and of several bases the smallest is taken. Whole families are those of ``p3_found``."""
     base = F.regexp_replace(F.lower("base"), r"^[ \t]+|[ \t]+$", "")
     none = F.coalesce(base, F.lit("")).isin("", "-", "—", "n/a", "na", "none", "null", "нет")
     return table(spark, sf, "queries").where("qid is not null").groupBy("qid").agg(F.min(F.when(none, F.col("qid")).otherwise(base)).alias("cluster"))
