@@ -10,12 +10,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from relevia.sources import materialize
+
+
+def sums_before(rows: DataFrame, order: str, sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    """``rows`` with the sums over all rows of smaller ``order``, whose values differ from row to row; nulls come first.
+
+    Rows are sorted within ranges, and the ranges' totals give what lies before a range; ``ranges`` defaults to Spark's
+    own number. The ranges are a table, as sampling could set their bounds anew."""
+    cut = rows.repartitionByRange(ranges, order) if ranges else rows.repartitionByRange(order)
+    r = materialize(cut.withColumn("__range", F.spark_partition_id()))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    totals = r.groupBy("__range").agg(*[F.sum(v).alias(f"__{c}") for c, v in sums.items()])
+    offsets = totals.select("__range", *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in sums])
+    within = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = r.withColumns({c: F.coalesce(F.sum(v).over(within), F.lit(0)) for c, v in sums.items()}).join(F.broadcast(offsets), "__range")
+    return out.withColumns({c: F.col(c) + F.col(f"__{c}") for c in sums}).drop("__range", *[f"__{c}" for c in sums])
+
 
 def cluster_sums(table: DataFrame, value: str, cluster: str) -> DataFrame:
     """(k, s, c): sum and count per cluster, numbered from 0 in byte order of the key; null values are left out."""
     rows = table.where(F.col(value).isNotNull()).groupBy(F.col(cluster).cast("string").alias("key"))
     sums = rows.agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
-    return sums.withColumn("k", F.row_number().over(Window.orderBy("key")) - 1).select("k", "s", "c")
+    return sums_before(sums, "key", {"k": F.lit(1)}).select(F.col("k").cast("int").alias("k"), "s", "c")
 
 
 def draws(spark: SparkSession, clusters: int, n: int, seed: int = 20260925, rng: str = "hash") -> DataFrame:
@@ -41,7 +58,8 @@ def bootstrap(table: DataFrame, value: str, cluster: str, n: int = 2000, alpha:
     mean = sums.agg(F.try_divide(F.sum("s"), F.sum("c")).alias("mean"))
     if not size:
         return mean.select("mean", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
-    reps = draws(table.sparkSession, size, n, seed, rng).join(sums, "k").groupBy("rep").agg((F.sum(F.col("m") * F.col("s")) / F.sum(F.col("m") * F.col("c"))).alias("x"))
+    # Spark takes the draws for the few rows they are made of, and would broadcast them.
+    reps = draws(table.sparkSession, size, n, seed, rng).hint("merge").join(sums, "k").groupBy("rep").agg((F.sum(F.col("m") * F.col("s")) / F.sum(F.col("m") * F.col("c"))).alias("x"))
     ranked = F.sort_array(F.collect_list("x"))  # n numbers
     bounds = reps.agg(F.get(ranked, F.lit(int(n * alpha / 2))).alias("lo"), F.get(ranked, F.lit(min(n - 1, int(n * (1 - alpha / 2))))).alias("hi"))
     return mean.join(bounds, F.lit(True))

@@ -254,9 +254,19 @@ def answer_threshold(spark: SparkSession, sf: str) -> DataFrame:
     o as (select list_sort(list(x)) as x from r)
     select round((select sum(s) / sum(c) from s), 6) as mean, round(x[6], 6) as lo, round(x[196], 6) as hi from o""")
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
-    """Cluster bootstrap of the mean nDCG of one run, 200 replicates over families of questions."""
+    """Cluster bootstrap of the mean nDCG of one run, 200 replicates over questions of the same base, which SQL can repeat."""
+    return interval(spark, sf, 200)
+
+
+@query()
+def bootstrap_interval_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the 2,000 replicates of production."""
+    return interval(spark, sf, 2000)
+
+
+def interval(spark: SparkSession, sf: str, n: int) -> DataFrame:
     t = per_query(spark, sf).where("run_id = 'P4'").join(clusters(spark, sf), "qid")
-    return rounded(I.bootstrap(t, "ndcg", "cluster", n=200), "mean", "lo", "hi")
+    return rounded(I.bootstrap(t, "ndcg", "cluster", n=n), "mean", "lo", "hi")
 
 
 @query("""select coalesce(cast(http as varchar), 'null') as http, count(*) as n, count(*) filter (error is not null) as errors,

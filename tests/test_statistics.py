@@ -1,12 +1,14 @@
 """Grades, agreement, bootstrap, sign test, ROC and thresholds by hand."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from relevia.operators import grades as G
 from relevia.operators import inference as I
+from relevia.plans import evaluation
 
 
 def kappa(spark, a, b):
@@ -59,6 +61,25 @@ def test_bootstrap(spark, rng):
     assert tuple(I.bootstrap(df.where("false"), "x", "q", 50, rng=rng).first()) == (None, None, None)
 
 
+def test_sums_before_and_cluster_numbers_by_ranges(spark):
+    keys = [None, *sorted(f"k{i * 7919 % 1000:03}" for i in range(200))]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, v long").repartition(6)
+    for ranges in (None, 1, 7):
+        got = {r.key: (r.n, r.s) for r in I.sums_before(df, "key", {"n": F.lit(1), "s": F.col("v")}, ranges).collect()}
+        assert got == {k: (i, i * (i - 1) // 2) for i, k in enumerate(keys)}
+    sums = I.cluster_sums(df, "v", "key")
+    assert sorted((r.k, r.s, r.c) for r in sums.collect()) == [(i, i, 1) for i in range(201)]
+    assert not re.search(r"windowspecdefinition\(key#", sums._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_full_interval_takes_2000_replicates(spark, monkeypatch):
+    df = spark.range(40).select(F.lit("P4").alias("run_id"), F.col("id").cast("string").alias("qid"), (F.col("id") % 2).cast("double").alias("ndcg"))
+    monkeypatch.setattr(evaluation, "per_query", lambda *_: df)
+    monkeypatch.setattr(evaluation, "clusters", lambda *_: df.select("qid", F.col("qid").alias("cluster")))
+    want = I.bootstrap(df, "ndcg", "qid", 2000).first()
+    assert tuple(evaluation.QUERIES["bootstrap_interval_full"](spark, "").first()) == tuple(round(x, 6) for x in want)
+
+
 def test_draws_of_the_standard_generator(spark):
     got = {(r.rep, r.k): r.m for r in I.draws(spark, 5, 2, rng="mt").collect()}
     want = {}
