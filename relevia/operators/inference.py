@@ -88,10 +88,9 @@ def compare(pairs: DataFrame, by: list[str], value: str, dead: float = 1e-9) ->
 def roc_auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """One row (auc): from average ranks, ties half; null if one side is empty.
 
-    Scores are grouped first, so only the distinct ones are ordered."""
+    Scores are grouped first, and the distinct ones are ordered within ranges."""
     g = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("won", F.col("p") * (below + F.col("q") / 2.0))
+    g = sums_before(g, "s", {"below": F.col("q")}).withColumn("won", F.col("p") * (F.col("below") + F.col("q") / 2.0))
     return g.agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
 
 
@@ -100,9 +99,9 @@ def threshold(rows: DataFrame, score: str, positive: str, max_loss: float = 0.05
 
     empty is the share of negatives below tau. (null, 0, 0) if no threshold does any good; nulls if a side is empty."""
     g = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).alias("tau")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    w = Window.orderBy("tau").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy(F.lit(0))
-    g = g.select("tau", F.try_divide(F.coalesce(F.sum("p").over(w), F.lit(0)), F.sum("p").over(all_)).alias("loss"), F.try_divide(F.coalesce(F.sum("q").over(w), F.lit(0)), F.sum("q").over(all_)).alias("empty"))
+    g = sums_before(g, "tau", {"lost": F.col("p"), "below": F.col("q")})
+    g = g.join(F.broadcast(g.agg(F.sum("p").alias("ps"), F.sum("q").alias("qs"))), F.lit(True))  # one row
+    g = g.select("tau", F.try_divide("lost", "ps").alias("loss"), F.try_divide("below", "qs").alias("empty"))
     best = g.agg(F.max(F.when(F.col("loss") <= max_loss, F.struct("empty", "tau", "loss"))).alias("m"), F.count(F.lit(1)).alias("n"), F.max("loss").alias("l"), F.max("empty").alias("e"))
     undefined = (F.col("n") > 0) & (F.col("l").isNull() | F.col("e").isNull())
     zero = F.when(~undefined, F.lit(0.0))

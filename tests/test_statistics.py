@@ -105,3 +105,15 @@ def test_threshold(spark):
     r = I.threshold(df, "s", "p").first()
     assert (r.tau, r.loss, r.empty) == (21.0, 0.05, 21 / 25)
     assert tuple(I.threshold(df.where("p"), "s", "p").first())[1:] == (None, None) or I.threshold(df.where("p"), "s", "p").first().empty is None
+
+
+def test_scores_are_ordered_within_ranges(spark):
+    df = spark.createDataFrame([(float(i * 37 % 500), i % 3 > 0) for i in range(500)] + [(None, True), (float("nan"), False)], "s double, p boolean").repartition(5)
+    auc, best = I.roc_auc(df, "s", "p"), I.threshold(df, "s", "p", 0.1)
+    rows = [(float(i * 37 % 500), i % 3 > 0) for i in range(500)]
+    pos, neg = [s for s, p in rows if p], [s for s, p in rows if not p]
+    assert auc.first().auc == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg))
+    want = max((sum(b < t for b in neg) / len(neg), t) for t, _ in rows if sum(a < t for a in pos) / len(pos) <= 0.1)
+    assert (best.first().empty, best.first().tau) == want
+    for df in (auc, best):
+        assert not re.search(r"windowspecdefinition\((s#|tau#|0)", df._jdf.queryExecution().optimizedPlan().toString())
