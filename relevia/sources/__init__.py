@@ -1,3 +1,3 @@
-from relevia.sources.tables import materialize, table
+from relevia.sources.tables import materialize, most_frequent, remove_tables, table
 
-__all__ = ["materialize", "table"]
+__all__ = ["materialize", "most_frequent", "remove_tables", "table"]
