@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relevia.sources import materialize
+from relevia.sources import materialize, most_frequent
 
 NONE = 2**31 - 1  # rank of a pair that the vocabulary doesn't have
 BUCKETS = 8192
@@ -119,60 +119,63 @@ def _heap_merge(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[raw[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def encoded_words(texts: DataFrame, text: str, ranks: dict[bytes, int], long: int = 256) -> DataFrame:
-    """(word, n, ids): every distinct word of the corpus, how often it occurs, and its ids."""
-    seen = texts.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    seen = materialize(seen)
-    short = seen.where(F.octet_length("word") <= long)
-    out = short.select("word", "n", merged(F.col("word"), rank_literal(ranks)).alias("ids"))
-    rest = seen.where(F.octet_length("word") > long)
+def encoded_words(seen: DataFrame, word: str, ranks: dict[bytes, int], long: int = 256) -> DataFrame:
+    """``seen`` with the ids of every word.
+
+    Words of more than ``long`` bytes take the same merges by a heap, as each step of the fold copies the word's pieces:
+    its time grows with the square of the length, the heap's hardly faster than the length."""
+    short = seen.where(F.octet_length(word) <= long).withColumn("ids", merged(F.col(word), rank_literal(ranks)))
+    rest = seen.where(F.octet_length(word) > long)
     if rest.limit(1).count():
-        out = out.unionByName(rest.select("word", "n", long_word_encoder(ranks)("word").alias("ids")))
-    return materialize(out)
+        short = short.unionByName(rest.withColumn("ids", long_word_encoder(ranks)(word)))
+    return short
 
 
 def _assemble(batches: Iterator[pa.RecordBatch], words: pa.Array, first: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Keys and digests as they are, lists of words to lists of ids by lookup; a text with a word outside ``words`` gets null."""
+    """Lists of words to lists of ids by lookup; a word outside ``words`` gives the negative of its place, from 1, among
+    the text's other words, which come along."""
+    first, ids = (first, ids) if len(words) else (np.zeros(2, np.int64), np.zeros(1, np.int32))
     for batch in batches:
-        lists = batch.column(2)
+        lists = batch.column("words")
         flat = lists.flatten()
         at = pc.index_in(flat, words)
         known = np.asarray(at.is_valid())
         at = np.asarray(at.fill_null(0))
-        size = np.where(known, first[at + 1] - first[at], 0) if len(words) else np.zeros(len(at), np.int64)
+        bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
+        misses = np.concatenate([[0], np.cumsum(~known)])
+        size = np.where(known, first[at + 1] - first[at], 1)
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        start = first[at] if len(words) else np.zeros(len(at), np.int64)
-        out = ids[np.repeat(start - (ends - size), size) + np.arange(total)]
-        bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))])
-        edges = np.concatenate([[0], ends])[bounds].astype(np.int32)
-        misses = np.concatenate([[0], np.cumsum(~known)])[bounds]
-        whole = misses[1:] == misses[:-1]
-        made = pa.ListArray.from_arrays(pa.array(edges), pa.array(out, pa.int32()), mask=pa.array(~whole))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["key", "h", "ids"])
+        place = np.repeat(first[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        out = ids[np.where(np.repeat(known, size), place, 0)].astype(np.int32)
+        lost = np.flatnonzero(~known)
+        out[(ends - size)[lost]] = misses[bounds[np.searchsorted(bounds, lost, side="right") - 1]] - misses[lost] - 1
+        made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends])[bounds].astype(np.int32)), pa.array(out))
+        rest = pa.ListArray.from_arrays(pa.array(misses[bounds].astype(np.int32)), flat.take(pa.array(lost)))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), made, rest], names=["row", "key", "ids", "rest"])
 
 
 def encode_corpus(texts: DataFrame, key: str, text: str, ranks: dict[bytes, int], table_words: int = 100_000, table_bytes: int = 64) -> DataFrame:
     """(key, ids): the ids of every text, without special tokens; null and empty texts give an empty list.
 
-    Only distinct words are merged. The ``table_words`` most frequent words of at most ``table_bytes`` bytes go to every
-    task (a bound of about 32 MB) and texts made of them are put together where they lie; texts with any other word are
-    taken apart, joined with the words' ids and put together again. Which way a row goes depends on its text alone, so
-    keys may repeat or be null; other columns are ignored."""
-    rows = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    hashed = rows.withColumn("h", F.sha2("t", 256))
-    words = encoded_words(rows, "t", ranks)
-    common = words.where(F.octet_length("word") <= table_bytes).orderBy(F.desc("n"), "word").limit(table_words)
-    top = common.select("word", "ids").toArrow()
+    Texts are cut into words once, and only distinct words are merged. The most frequent words of at most ``table_bytes``
+    bytes, ``table_words`` at most, go to every task (a bound of about 32 MB) and are looked up where the texts lie. Of the
+    other words, each of them rare, only the places meet the words' ids by join and are put in afterwards. Rows have
+    numbers of their own, so keys may repeat or be null; other columns are ignored."""
+    kind = texts.schema[key].dataType.simpleString()
+    cut = materialize(texts.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("words")))
+    seen = materialize(cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    words = materialize(encoded_words(seen, "word", ranks))
+    top = most_frequent(words.where(F.octet_length("word") <= table_bytes), "n", table_words).select("word", "ids").toArrow()
     lists = top.column("ids").combine_chunks()
     first, ids = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values).astype(np.int32)
-    shared = rows.sparkSession.sparkContext.broadcast((top.column("word").combine_chunks(), first - first[0], ids))
-    near = hashed.select("key", "h", words_of(F.col("t")).alias("w")).mapInArrow(lambda b: _assemble(b, *shared.value), f"key {rows.schema['key'].dataType.simpleString()}, h string, ids array<int>")
+    shared = texts.sparkSession.sparkContext.broadcast((top.column("word").combine_chunks(), first, ids))
+    near = cut.mapInArrow(lambda b: _assemble(b, *shared.value), f"row bigint, key {kind}, ids array<int>, rest array<string>")
     if words.count() > top.num_rows:
-        far = materialize(near.where("ids is null").select("key", "h"))
-        parts = hashed.join(far.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).select("h", F.posexplode(words_of(F.col("t"))).alias("pos", "word"))
-        built = parts.join(words.select("word", "ids"), "word").groupBy("h").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-        near = near.where("ids is not null").select("key", "ids").unionByName(far.join(built, "h").select("key", "ids"))
+        near = materialize(near)
+        places = near.select("row", F.posexplode("rest").alias("pos", "word")).join(words.select("word", F.col("ids").alias("own")), "word")
+        found = places.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "own"))), lambda x: x["own"]).alias("put"))
+        filled = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get("put", -1 - i))))
+        near = near.join(found, "row", "left").withColumn("ids", F.when(F.size("rest") > 0, filled).otherwise(F.col("ids")))
     return near.select(F.col("key").alias(key), "ids")
 
 

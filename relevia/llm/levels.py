@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relevia.sources import materialize
+from relevia.sources import materialize, most_frequent
 
 def running_prose(text: Column) -> Column:
     """The text without the rows of tables: lines of two bars or more, or with a cell of figures only."""
@@ -86,7 +86,7 @@ class _Graph:
 
     def __init__(self, texts: DataFrame, shared_words: int) -> None:
         seen = materialize(texts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        common = seen.orderBy(F.desc("n"), "word").limit(shared_words).select("word").toArrow().column("word").combine_chunks()
+        common = most_frequent(seen, "n", shared_words).select("word").toArrow().column("word").combine_chunks()
         self.size, self.spark = len(common), texts.sparkSession
         shared = self.spark.sparkContext.broadcast(common)
         rows = texts.mapInArrow(lambda b: _number(b, shared.value), "row bigint, key string, level int, cyr boolean, nodes array<int>, rest array<string>")
@@ -137,7 +137,7 @@ def reading_levels(
     clamped to their level. A word's score is the mean of its texts' scores, weighted by its share of them, where graded
     texts together have the weight ``anchor`` and all others together the rest, so that the scale stays the same however
     many texts are not graded. Rounds go on until no common word moves by more than ``settled``, ``rounds`` at most.
-    Words of a single text follow it and change nothing, so they are left out. The ``shared_words`` most frequent words go
+    Words of a single text follow it and change nothing, so they are left out. The most frequent words, ``shared_words`` at most, go
     to every task (2 MB of scores at the default); rarer ones, whose texts are few, meet their texts by join with the
     same result.
 
