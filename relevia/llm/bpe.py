@@ -131,11 +131,18 @@ def encoded_words(seen: DataFrame, word: str, ranks: dict[bytes, int], long: int
     return short
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _assemble(batches: Iterator[pa.RecordBatch], words: pa.Array, first: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Lists of words to lists of ids by lookup; a word outside ``words`` gives the negative of its place, from 1, among
     the text's other words, which come along."""
     first, ids = (first, ids) if len(words) else (np.zeros(2, np.int64), np.zeros(1, np.int32))
-    for batch in batches:
+    for batch in _slices(batches):
         lists = batch.column("words")
         flat = lists.flatten()
         at = pc.index_in(flat, words)
@@ -175,7 +182,8 @@ def encode_corpus(texts: DataFrame, key: str, text: str, ranks: dict[bytes, int]
         places = near.select("row", F.posexplode("rest").alias("pos", "word")).join(words.select("word", F.col("ids").alias("own")), "word")
         found = places.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "own"))), lambda x: x["own"]).alias("put"))
         filled = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get("put", -1 - i))))
-        near = near.join(found, "row", "left").withColumn("ids", F.when(F.size("rest") > 0, filled).otherwise(F.col("ids")))
+        whole, open_ = near.where(F.size("rest") == 0).select("key", "ids"), near.where(F.size("rest") > 0)
+        near = whole.unionByName(open_.join(found, "row").select("key", filled.alias("ids")))
     return near.select(F.col("key").alias(key), "ids")
 
 
