@@ -35,20 +35,25 @@ def consensus(
     smoothing: float = 0.5,
     max_iter: int = 24,
     tol: float = 1e-3,
+    salts: int = 8,
 ) -> Consensus:
     """Item posteriors and annotator confusion matrices, fitted in turn until they stand still.
 
     ``votes`` has at most one row per (item, annotator); further ones are reduced to the smallest label. Rows with a null
     key or a label outside 0..classes-1 are left out; an empty table gives empty labels and annotators and an agreement
     row of nulls. Ties between classes go to the smaller label. Votes stay hash-partitioned by item over all rounds, so
-    a round moves only the sums per (annotator, label): hot annotators are summed before the shuffle."""
+    a round moves only the sums per (annotator, label): hot annotators are summed before the shuffle, and meet their
+    matrices, of which there are ``salts`` copies, by a salt of the item. Rounds end when no probability moves by ``tol``,
+    after ``max_iter`` at the latest."""
     ks = range(classes)
     v = votes.select(F.col(item).alias("i"), F.col(annotator).cast("string").alias("a"), F.col(label).cast("int").alias("l"))
     v = v.where(F.col("i").isNotNull() & F.col("a").isNotNull() & F.col("l").between(0, classes - 1))
-    v = v.groupBy("i", "a").agg(F.min("l").alias("l"))
-    v = v.withColumn("n", F.lit(1)).unionByName(v.select("i").distinct().select("i", F.lit(PRIOR).alias("a"), F.lit(0).alias("l"), F.lit(0).alias("n")))
+    given = v.groupBy("i", "a").agg(F.min("l").alias("l"))
+    v = given.withColumn("n", F.lit(1)).unionByName(given.select("i").distinct().select("i", F.lit(PRIOR).alias("a"), F.lit(0).alias("l"), F.lit(0).alias("n")))
     parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = v.repartition(parts, "i").persist()
+    v = v.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(salts)).cast("int")).repartition(parts, "i").persist()
+
+    real = F.col("a") != PRIOR
 
     def model(post: DataFrame) -> DataFrame:
         """Log-probability of each observed (annotator, label) under each class."""
@@ -64,16 +69,18 @@ def consensus(
         return sums.select("a", "l", *[F.col(f"c{k}") for k in ks], *cols)
 
     def posterior(m: DataFrame) -> DataFrame:
-        s = v.join(m, ["a", "l"]).groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(f"m{k}").alias(f"s{k}") for k in ks])
+        copies = m.where(real).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        shares = m.where(~real).select(*[F.col(f"m{k}").alias(f"q{k}") for k in ks])  # one row
+        s = v.where(real).join(copies, ["a", "l", "s"]).groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(f"m{k}").alias(f"s{k}") for k in ks])
+        s = s.join(F.broadcast(shares), F.lit(True)).select("i", "n", *[(F.col(f"s{k}") + F.col(f"q{k}")).alias(f"s{k}") for k in ks])
         top = F.greatest(*[F.col(f"s{k}") for k in ks])
         e = [F.exp(F.col(f"s{k}") - top) for k in ks]
         return s.select("i", "n", *[(e[k] / _total(e)).alias(f"p{k}") for k in ks])
 
-    real = F.col("a") != PRIOR
     start = v.groupBy("i").agg(*[((F.sum(F.when(real & (F.col("l") == k), 1.0).otherwise(0.0)) + 0.1) / (F.sum("n") + 0.1 * classes)).alias(f"p{k}") for k in ks])
-    m = materialize(model(start), 1)
+    m = materialize(model(start))
     for step in range(max_iter):
-        new = materialize(model(posterior(m)), 1)
+        new = materialize(model(posterior(m)))
         if step % 4 == 3:
             old = m.select("a", "l", *[F.col(f"m{k}").alias(f"o{k}") for k in ks])
             moved = new.join(old, ["a", "l"]).agg(F.max(F.greatest(*[F.abs(F.exp(f"m{k}") - F.exp(f"o{k}")) for k in ks]))).first()[0]
@@ -82,7 +89,8 @@ def consensus(
                 break
         m = new
 
-    post = posterior(m)
+    post = materialize(posterior(m))
+    v.unpersist()
     best = F.greatest(*[F.col(f"p{k}") for k in ks])
     chosen = F.coalesce(*[F.when(F.col(f"p{k}") >= best - 1e-12, F.lit(k)) for k in ks])
     labels = post.select(F.col("i").alias(item), chosen.cast("int").alias(label), best.alias("confidence"), F.col("n").cast("int").alias("n_votes"))
@@ -93,7 +101,7 @@ def consensus(
     shift = _total([(F.col("l") - k) * F.col(f"c{k}") for k in ks])
     annotators = m.where(real).groupBy("a").agg(F.sum(mass).alias("n_votes"), F.sum(hits).alias("h"), F.sum(shift).alias("d"))
     annotators = annotators.select(F.col("a").alias(annotator), F.round("n_votes").cast("bigint").alias("n_votes"), F.try_divide("h", "n_votes").alias("reliability"), F.try_divide("d", "n_votes").alias("bias"))
-    return Consensus(labels, annotators, chance_corrected_agreement(v.where(real).select("i", "l"), "i", "l", classes))
+    return Consensus(labels, annotators, chance_corrected_agreement(given, "i", "l", classes))
 
 
 def chance_corrected_agreement(votes: DataFrame, item: str, label: str, classes: int = 4) -> DataFrame:

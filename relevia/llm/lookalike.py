@@ -132,8 +132,8 @@ def by_table(token: str) -> str:
     return text
 
 
-def _match(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket, vocabulary before tokens; a trie lives as long as its bucket."""
+def _match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by bucket, vocabulary before tokens; a trie lives as long as its bucket. Only spellings at no cost count."""
     bucket, trie = None, Trie()
     for frame in frames:
         tokens, forms = [], []
@@ -143,24 +143,23 @@ def _match(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
             if count >= 0:
                 trie.add(word, int(count))
             else:
-                found = trie.search(expand(word), most)
+                found = trie.search(expand(word))
                 tokens.append(word)
                 forms.append(found[0][2] if found else by_table(word))
         yield pd.DataFrame({"word": pd.Series(tokens, dtype=str), "form": pd.Series(forms, dtype=str)})
 
 
 def _bucket(word: Column) -> Column:
-    """Equal for words that look alike: the first two shapes and the number of letters, without marks."""
+    """Equal for words that look alike, and hardly for others: all shapes of the word, without marks."""
     bare = F.translate(word, FULL, ASCII)
     for a, b in LIGATURES.items():
         bare = F.replace(bare, F.lit(a), F.lit(b))
     bare = F.regexp_replace(bare, r"[\p{Cf}\p{M}]", "")
     olds, news = zip(*((k, v) for k, v in LIKE.items() if k != v))
-    bare = F.translate(bare, "".join(olds) + "йЙёЁ", "".join(news) + "иИeE")
-    return F.concat(F.substring(bare, 1, 2), F.length(bare).cast("string"))
+    return F.translate(bare, "".join(olds) + "йЙёЁ", "".join(news) + "иИeE")
 
 
-def normalize_lookalikes(texts: DataFrame, keys: list[str], text: str, most: int = 0) -> DataFrame:
+def normalize_lookalikes(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, text, canonical): every text in the one form that all texts looking the same share.
 
     Words of clean texts form a vocabulary, cut into tries by what look-alikes have in common; each word with unusual
@@ -195,9 +194,9 @@ def normalize_lookalikes(texts: DataFrame, keys: list[str], text: str, most: int
     pieces = F.regexp_extract_all(flat, F.lit(r"[0-9A-Za-zА-ё\p{L}\p{M}\p{N}\p{Cf}]++|[ ,.\n]++|[^\p{L}\p{M}\p{N}\p{Cf}]++"), 0)
     tokens = odd.select("id", F.posexplode(F.filter(pieces, strange)).alias("pos", "word"))
     unknown = tokens.select("word").distinct().select("word", F.lit(-1).cast("bigint").alias("n"))
-    bucketed = vocabulary.unionByName(unknown).withColumn("bucket", _bucket(F.col("word")))
+    bucketed = vocabulary.unionByName(unknown).withColumn("bucket", _bucket(F.col("word")))  # spellings of one look
     bucketed = bucketed.repartition("bucket").sortWithinPartitions("bucket", F.desc("n"))
-    forms = bucketed.select("bucket", "word", "n").mapInPandas(lambda f: _match(f, most), "word string, form string")
+    forms = bucketed.select("bucket", "word", "n").mapInPandas(_match, "word string, form string")
 
     def scripted(form: Column) -> Column:
         shared = form.rlike(f"^[0-9{SHARED_LATIN}{SHARED_CYRILLIC}]+$")
@@ -214,16 +213,26 @@ def normalize_lookalikes(texts: DataFrame, keys: list[str], text: str, most: int
     return out.select(*[F.col(x).alias(k) for k, x in zip(keys, ks)], F.col("t").alias(text), F.col("c").alias("canonical"))
 
 
-def lookalike_pairs(texts: DataFrame, field: str, key: str, number: str, text: str) -> DataFrame:
-    """(field, key_1, key_2): pairs of distinct keys of a field whose unequal texts have one canonical form.
+def lookalike_classes(texts: DataFrame, field: str, key: str, number: str, text: str) -> DataFrame:
+    """(field, class, number, key, digest, keys): every key of a field whose text looks like an unequal one, its class, a digest
+    of its very text, and the number of rows of the class.
 
-    The pair is ordered by the column ``number``, then by the key in byte order. Texts travel as digests."""
+    Texts travel as digests; a key with several texts has a row for each. Null keys are left out."""
     canon = normalize_lookalikes(texts, [field, number, key], text)
     d = canon.select(F.col(field).alias("f"), F.col(number).alias("o"), F.col(key).alias("k"), F.md5(text).alias("t"), F.md5("canonical").alias("c")).where("k is not null")
     d = materialize(d.distinct())
-    mixed = d.groupBy("f", "c").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("f", "c")
-    d = d.join(mixed, ["f", "c"], "left_semi")
-    a, b = d.alias("a"), d.alias("b")
+    mixed = d.groupBy("f", "c").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("keys")).where("t0 <> t1").select("f", "c", "keys")
+    return d.join(mixed, ["f", "c"]).select(F.col("f").alias(field), F.col("c").alias("class"), F.col("o").alias(number), F.col("k").alias(key), F.col("t").alias("digest"), "keys")
+
+
+def lookalike_pairs(texts: DataFrame, field: str, key: str, number: str, text: str, salts: int = 8) -> DataFrame:
+    """(field, key_1, key_2): pairs of distinct keys of a field whose unequal texts have one canonical form.
+
+    The pair is ordered by the column ``number``, then by the key in byte order. A class meets itself in ``salts`` parts."""
+    d = materialize(lookalike_classes(texts, field, key, number, text).select(F.col(field).alias("f"), F.col("class").alias("c"), F.col(number).alias("o"), F.col(key).alias("k"), F.col("digest").alias("t")))
+    a = d.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int")).alias("a")
+    b = d.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("b")
     first = (F.col("a.o") < F.col("b.o")) | ((F.col("a.o") == F.col("b.o")) & (F.col("a.k") < F.col("b.k")))
-    both = a.join(b, (F.col("a.f") == F.col("b.f")) & (F.col("a.c") == F.col("b.c")) & (F.col("a.t") != F.col("b.t")) & first)
+    same = (F.col("a.f") == F.col("b.f")) & (F.col("a.c") == F.col("b.c")) & (F.col("a.s") == F.col("b.s"))
+    both = a.join(b, same & (F.col("a.t") != F.col("b.t")) & first)
     return both.select(F.col("a.f").alias(field), F.col("a.k").alias("key_1"), F.col("b.k").alias("key_2")).distinct()

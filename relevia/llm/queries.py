@@ -67,6 +67,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalike_pairs(chunks.union(asked), "field", "key", "number", "text")
 
 
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk and query whose text looks like an unequal one, with the smallest key of its class and the rows of the class."""
+    chunks = table(spark, sf, "chunks").select(F.lit("chunks").alias("field"), F.col("cid").alias("number"), F.col("cid").cast("string").alias("key"), "text")
+    asked = table(spark, sf, "queries").select(F.lit("queries"), F.lit(0).cast("bigint"), "qid", "query")
+    c = lookalike.lookalike_classes(chunks.union(asked), "field", "key", "number", "text")
+    least = c.groupBy("field", "class").agg(F.min(F.struct("number", "key"))["key"].alias("class_key"))
+    return c.join(least, ["field", "class"]).select("field", "class_key", "key", "keys").distinct()
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """The kinds of scan noise in every chunk."""
     return ocr.repair_scans(table(spark, sf, "chunks")).noise
@@ -96,30 +105,44 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", F.col("level").alias("reading_level"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits, p4_found, p5_found, p5_text, p6_ids, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_splits, p4_found, p4_classes, p5_found, p5_text, p6_ids, p7_found, p8_found)}
 
-_OLD = "".join(k for k, v in lookalike.LIKE.items() if k != v) + "ёЁ"
-_NEW = "".join(v for k, v in lookalike.LIKE.items() if k != v) + "ëË"
+# Fixed values of the SQL, written apart from the operator's: Cyrillic, Greek and other letters that look like Latin ones; ё as Latin ë.
+_OLD = "асеіјорѕхуАВСЕНІЈКМОРЅТХ" + "οΑΒΕΗΙΚΜΝΟΡΤΧΥΖ" + "\u212aёЁ"
+_NEW = "aceijopsxyABCEHIJKMOPSTX" + "oABEHIKMNOPTXYZ" + "KëË"
 
-ORACLES = {
-    "p3_found": """
-        with recursive raw as (select qid, regexp_replace(trim(lower(qid), ' ' || chr(9)), '^q_', 'ai_') as k,
+_FAMILIES = """raw as (select qid, regexp_replace(trim(lower(qid), ' ' || chr(9)), '^q_', 'ai_') as k,
                                       regexp_replace(trim(lower(base), ' ' || chr(9)), '^q_', 'ai_') as b from queries where qid is not null),
              link as (select k, b from raw where b not in ('', '-', '—', 'n/a', 'na', 'none', 'null', 'нет') and b <> k),
              e as (select k as x, b as y from link union select b, k from link),
              reach(x, y) as (select k, k from raw union select r.x, e.y from reach r join e on r.y = e.x),
-             least as (select x, min(y) as g from reach group by 1)
-        select qid, min(g) as group_key from raw join least on k = x group by 1""",
-    "p4_found": f"""
-        with t as (select 'chunks' as field, cid as number, cast(cid as varchar) as key, text from chunks
+             least as (select x, min(y) as g from reach group by 1),
+             fam as (select qid, min(g) as group_key from raw join least on k = x group by 1)"""
+_CANON = f"""t as (select 'chunks' as field, cid as number, cast(cid as varchar) as key, text from chunks
                    union all select 'queries', 0, qid, query from queries),
              c as (select distinct field, number, key, text,
                           translate(nfc_normalize(translate(regexp_replace(replace(replace(text, chr(64257), 'fi'), chr(13) || chr(10), chr(10)),
                               '[\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}\\x{{00AD}}]', '', 'g'),
                               '{lookalike.BLANKS + lookalike.FULL}', '{" " * len(lookalike.BLANKS) + lookalike.ASCII.replace("'", "''")}')), '{_OLD}', '{_NEW}') as canon
-                   from t where text is not null and key is not null)
+                   from t where text is not null and key is not null)"""
+
+ORACLES = {
+    "p3_found": f"with recursive {_FAMILIES} select qid, group_key from fam",
+    "p3_splits": f"""
+        with recursive {_FAMILIES},
+             sizes as (select group_key, count(*) as size from fam group by 1),
+             b as (select *, row_number() over (partition by floor(log2(size)) order by md5('7|' || group_key), group_key) - 1 as i from sizes),
+             t as (select *, floor((i + 1) * 0.1::double + 1e-9) > floor(i * 0.1::double + 1e-9) as test, i - floor(i * 0.1::double + 1e-9) as j from b),
+             v as (select *, floor((j + 1) * (0.1::double / 0.9::double) + 1e-9) > floor(j * (0.1::double / 0.9::double) + 1e-9) as validation from t)
+        select qid, group_key, case when test then 'test' when validation then 'validation' else 'train' end as split from fam join v using (group_key)""",
+    "p4_found": f"""
+        with {_CANON}
         select distinct a.field, a.key as key_1, b.key as key_2 from c a join c b
           on a.field = b.field and a.canon = b.canon and a.text <> b.text and (a.number < b.number or (a.number = b.number and a.key < b.key))""",
+    "p4_classes": f"""
+        with {_CANON},
+             m as (select field, canon, count(*) as keys, arg_min(key, (number, key)) as class_key from c group by 1, 2 having count(distinct text) > 1)
+        select distinct field, class_key, key, keys from c join m using (field, canon)""",
     "p1_found": """
         with r as (select qid, unnest(results) as x from responses_hybrid where http = 200 and qid is not null),
              d as (select qid, regexp_replace(x.absolute_path, '^.*?/corpus/', '', 's') as doc_id, max(x.score) as score

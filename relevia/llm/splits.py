@@ -62,17 +62,20 @@ def families(members: DataFrame, member: str, key: str, link: str) -> DataFrame:
     return own.join(named, "k", "left").select(F.col("m").alias(member), F.coalesce("g", "k").alias("group_key"))
 
 
-def deal_splits(grouped: DataFrame, group: str, parts: dict[str, float] | None = None, seed: int = 7, buckets: int = 64) -> DataFrame:
+def deal_splits(grouped: DataFrame, group: str, parts: dict[str, float] | None = None, seed: int = 7, per_bucket: int = 100_000) -> DataFrame:
     """(group, size, split): whole groups dealt to ``parts`` in proportion, separately within bands of doubling size.
 
-    Groups of a band are put in a hashed order and dealt in turn: a part receives group i when its running quota passes
-    a whole number there. Positions come from counts per (band, bucket), so no band is sorted in one task."""
+    Groups of a band are put in the order of their MD5 and dealt in turn: a part receives group i when its running quota
+    passes a whole number there, so the first groups of a band, and the only one of a band, go to the first part.
+    Positions come from counts per (band, bucket); buckets are ranges of the MD5, more of them the more groups there are,
+    so no band is sorted in one task and the order doesn't depend on their number."""
     parts = parts or {"train": 0.8, "validation": 0.1, "test": 0.1}
     sizes = grouped.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.select("g", "size", F.floor(F.log2("size")).cast("int").alias("band"), F.pmod(F.xxhash64("g", F.lit(seed)), F.lit(buckets)).cast("int").alias("u"))
-    sizes = materialize(sizes)
+    sizes = materialize(sizes.select("g", "size", (F.length(F.bin("size")) - 1).alias("band"), F.md5(F.concat(F.lit(f"{seed}|"), F.col("g").cast("string")).cast("binary")).alias("h")))
+    buckets = max(16, -(-sizes.count() // per_bucket))
+    sizes = sizes.withColumn("u", F.floor(F.conv(F.left("h", F.lit(7)), 16, 10).cast("bigint") * buckets / 2**28).cast("int"))
     offs = sizes.groupBy("band", "u").count().withColumn("off", F.sum("count").over(Window.partitionBy("band").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)))
-    nth = F.row_number().over(Window.partitionBy("band", "u").orderBy(F.xxhash64("g", F.lit(seed + 1)), "g")) - 1
+    nth = F.row_number().over(Window.partitionBy("band", "u").orderBy("h", "g")) - 1
     placed = sizes.withColumn("i", nth).join(offs.select("band", "u", F.coalesce("off", F.lit(0)).alias("off")), ["band", "u"]).withColumn("i", F.col("i") + F.col("off"))
     names = list(parts)
     split, left, i = F.lit(names[0]), 1.0, F.col("i").cast("double")

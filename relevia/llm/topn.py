@@ -14,7 +14,9 @@ def top_n_per_group(
     An identifier counts once per group, with its highest score; higher score first, ties by identifier ascending in
     byte order. Rows with a null group, identifier or score and NaN scores are left out; other columns are ignored, an
     empty table gives an empty result. Groups are hashed into ``salts`` subgroups by identifier; each subgroup keeps its
-    ``n`` best, so the final ranking of a group sees at most ``salts * n`` rows however large the group is."""
+    ``n`` best, so the final ranking of a group sees at most ``salts * n`` rows however large the group is, and a task at
+    most a ``salts``-th of a group's identifiers: choose it so that this many rows of the largest group sort in one task.
+    Repeated rows of a (group, identifier) are reduced before they are moved."""
     rows = items.select(F.col(group).alias("g"), F.col(ident).alias("i"), F.col(score).alias("s"))
     rows = rows.where("g is not null and i is not null and s is not null and not isnan(s)")
     best = rows.groupBy("g", "i").agg(F.max("s").alias("s"))
