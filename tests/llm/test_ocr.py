@@ -76,3 +76,47 @@ def test_page_values():
     import pandas as pd
 
     assert [None if pd.isna(x) else int(x) for x in ocr.page_value(pd.Series(["12", "xiv", "1O", None, "", "З", "mm"]))] == [12, 14, 10, None, None, 3, 2000]
+
+
+def test_long_headers_and_parts_with_numbers_of_their_own(spark):
+    r = random.Random(4)
+    long = " ".join(r.choice(WORDS) for _ in range(40))
+    rows = []
+    for p in range(1, 17):
+        own = p + 3 if p < 10 else p - 9  # the annex starts anew
+        rows.append((p, "d", p, "\n".join([f"{long} часть" if p % 2 else f"{long} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]} {page(r, 1)[0]}", *page(r), str(own)]), "ocr", p, None, "x"))
+    marks = ocr.furniture(ocr.scanned_pages(spark.createDataFrame(rows, KIND))).collect()
+    assert {x.cid for x in marks if x.header} == {p for p in range(1, 17) if p % 2}  # long lines that only begin alike are no header
+    assert {x.cid for x in marks if x.pageno} == set(range(1, 17))
+
+
+def test_cut_word_before_a_page_of_furniture(spark):
+    r = random.Random(5)
+    rows = [[p, "d", p, ["Обзор рынка банка", *page(r), str(p + 2)], "ocr", p, None, "x"] for p in range(1, 9)]
+    rows[2][3][6] = "залог подтвер-"
+    rows[3][3] = ["Обзор рынка банка", "6"]
+    rows[4][3][1] = "ждает договор залог"
+    rows += [[100 + k, "plain", k, page(r, 8), "text", None, 5, "x"] for k in range(20)]
+    rep = ocr.repair_scans(spark.createDataFrame([(*x[:3], "\n".join(x[3]), *x[4:]) for x in rows], KIND))
+    assert [x.cid for x in rep.noise.where("noise = 'hyphen'").collect()] == [3]
+    assert {x.cid for x in rep.text.where("text = ''").collect()} == {4}
+
+
+def test_confusions_and_long_words(spark):
+    assert ocr.confusions("кре4ит", "кречит") == 1 and ocr.confusions("rnodern", "modern") == 1 and ocr.confusions("дом", "дым") == 3
+    assert len(ocr._edits("попиинпопиинпопиинпопиинпопиинпопиин")) > 400
+    right = "оченьдлинноесоставноеслово" * 3
+    suspects = spark.createDataFrame([(right.replace("о", "0", 1).replace("ч", "4", 1), 1), ("к0рзина", 1), ("x" * 300, 1)], "word string, n bigint")
+    common = spark.createDataFrame([(right, 9), ("корзина", 7)], "right string, m bigint")
+    got = {x.right: x.edits for x in ocr.linked_words(suspects, common).collect()}
+    assert got == {right: 2, "корзина": 1}
+
+
+def test_context_chooses_between_equal_spellings(spark):
+    r = random.Random(6)
+    topics = [[f"слово{a}{b}" for b in "абвгде"] for a in "кл"]
+    texts = [[*(r.choice(t) for _ in range(4)), own, *(r.choice(t) for _ in range(4))] for _ in range(600) for t, own in zip(topics, ("полка", "лопка"))]
+    flow = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(9000, " ".join([*topics[0][:4], "попка", *topics[0][2:]])), (9001, " ".join([*topics[1][:4], "попка", *topics[1][2:]]))]
+    words = spark.createDataFrame([(w, 900) for t in topics for w in t] + [("полка", 600), ("лопка", 600), ("попка", 2)], "word string, n bigint")
+    got = {x.cid: x.right for x in ocr.misread_words(spark.createDataFrame(flow, "cid bigint, text string"), words).collect()}
+    assert got == {9000: "полка", 9001: "лопка"}
