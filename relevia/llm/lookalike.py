@@ -179,8 +179,9 @@ def normalize_lookalikes(texts: DataFrame, keys: list[str], text: str) -> DataFr
     astray = F.when(cyr, t.rlike(_alone(SHARED_LATIN))).otherwise(t.rlike(_alone(SHARED_CYRILLIC)))
     mixed = t.rlike(LATIN_CYRILLIC) | t.rlike(CYRILLIC_LATIN)
     odd_text = other & ((~t.rlike(r"^[\n -~А-ё№«»—]*+\z") & t.rlike(ODD)) | mixed | astray)
-    clean = rows.where(~odd_text)
-    odd = rows.where(odd_text).select(*ks, "t", cyr.alias("cyr"), F.xxhash64("t").alias("h")).dropDuplicates([*ks, "h"])
+    rows = materialize(rows.withColumns({"odd": odd_text, "cyr": cyr}))
+    clean = rows.where("not odd")
+    odd = rows.where("odd").select(*ks, "t", "cyr", F.xxhash64("t").alias("h")).dropDuplicates([*ks, "h"])
     odd = materialize(odd.withColumn("id", F.monotonically_increasing_id()))
 
     words = clean.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]+|[А-ё]+"), 0))).alias("word"))
