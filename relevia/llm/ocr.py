@@ -173,7 +173,7 @@ def _train(batches: Iterator[pa.RecordBatch], v: Vectors, share: np.ndarray, rat
     """One task's pass of skip-gram with negative sampling, from the shared vectors on: its vectors times their words' counts."""
     word, context, seen = v.word.copy(), v.context.copy(), np.zeros(len(v.word))
     draw = np.random.default_rng([seed, TaskContext.get().partitionId()])
-    keep = np.minimum(1.0, np.sqrt(1e-3 / np.maximum(share, 1e-12)))
+    keep = np.minimum(1.0, np.sqrt(0.3 / len(share) / np.maximum(share, 1e-12)))  # commoner words are passed over at times
     odds = np.cumsum(share**0.75)
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
