@@ -102,12 +102,12 @@ def is_code(token: Column) -> Column:
 
 
 def junk_title(title: Column) -> Column:
-    """Titles that say nothing: empty, file names of word processors, numbers, untitled."""
-    return F.coalesce(F.trim(title), F.lit("")).rlike(r"(?iu)^(?:|untitled|без названия|документ\d*|document\d*|microsoft .*|[^\p{L}]+|.*\.(?:docx?|pptx?|pdf|xlsx?|txt))$")
+    """Titles that say nothing: none, those of office programs, numbered documents, untitled ones, paths."""
+    return F.coalesce(F.trim(title), F.lit("")).rlike(r"(?iu)^(?:$|microsoft (?:word|excel|powerpoint)\s*-|please read first|документ[0-9]*$|книга[0-9]*$|презентация[0-9]*$|untitled|без названия|[a-z]:\\|/)")
 
 
 def has_emoji(text: Column) -> Column:
-    return text.rlike(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]")
+    return text.rlike(r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}]")
 
 
 def has_controls(text: Column) -> Column:
@@ -135,6 +135,19 @@ def sums_in(text: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda x: ~x.rlike("^(?:19|20)[0-9]{2}$") & (x.try_cast("double") >= 1000)))
 
 
+def figures_in(text: Column) -> Column:
+    """Distinct numbers of four digits or more without their separators, years of 2010 to 2029 left out."""
+    found = F.regexp_extract_all(text, F.lit(r"[0-9][0-9\s\p{Z},.]*[0-9]"), 0)
+    bare = F.transform(found, lambda x: F.regexp_replace(x, r"[\s\p{Z},.]", ""))
+    return F.array_distinct(F.filter(bare, lambda x: (F.length(x) >= 4) & ~x.rlike("^20[12][0-9]$")))
+
+
+def digit_runs(text: Column) -> Column:
+    """Distinct runs of four digits or more once single separators between digits are gone."""
+    flat = F.regexp_replace(text, r"(?<=[0-9])[\s\p{Z},.](?=[0-9])", "")
+    return F.array_distinct(F.regexp_extract_all(flat, F.lit("[0-9]{4,}"), 0))
+
+
 def human_dates(iso: Column) -> Column:
     """The two written forms of an ISO date, ``1 января 2025`` and ``01.01.2025``; null for other text."""
     d = F.try_to_date(iso, "yyyy-MM-dd")

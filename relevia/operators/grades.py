@@ -62,16 +62,53 @@ def hash_order(*parts: Column, seed: str = "20260925") -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *parts).cast("binary"))
 
 
-def batches(pairs: DataFrame, key: str, size: int = 40, seed: str = "20260925", spread: int = 64) -> DataFrame:
-    """``pairs`` with a batch number: a fixed shuffle cut into batches of ``size``.
+def positions(pairs: DataFrame, key: str, seed: str = "20260925", spread: int = 64, name: str = "pos") -> DataFrame:
+    """``pairs`` with their places from 0 in a fixed shuffle.
 
-    Positions are counted within hashed ranges and shifted by the ranges' sizes, so nothing is sorted in one task."""
+    Places are counted within ranges of the hash and shifted by the ranges' sizes, so nothing is sorted in one task."""
     h = hash_order(F.col(key), seed=seed)
     rows = pairs.withColumn("__h", h).withColumn("__u", F.floor(F.conv(F.left(h, F.lit(4)), 16, 10).cast("int") * spread / 65536))
     ahead = rows.groupBy("__u").count().withColumn("__o", F.sum("count").over(Window.orderBy("__u").rowsBetween(Window.unboundedPreceding, -1)))  # spread rows
     nth = F.row_number().over(Window.partitionBy("__u").orderBy("__h", key)) - 1
     out = rows.withColumn("__n", nth).join(F.broadcast(ahead.select("__u", "__o")), "__u")
-    return out.withColumn("batch", F.floor((F.col("__n") + F.coalesce("__o", F.lit(0))) / size).cast("int")).drop("__h", "__u", "__n", "__o")
+    return out.withColumn(name, F.col("__n") + F.coalesce("__o", F.lit(0))).drop("__h", "__u", "__n", "__o")
+
+
+def batches(pairs: DataFrame, key: str, size: int = 40, seed: str = "20260925", spread: int = 64) -> DataFrame:
+    """``pairs`` with a batch number: a fixed shuffle cut into batches of ``size``."""
+    return positions(pairs, key, seed, spread, "__pos").withColumn("batch", F.floor(F.col("__pos") / size).cast("int")).drop("__pos")
+
+
+def second_opinions(pairs: DataFrame, key: str, share: float = 0.2, size: int = 40, seed: str = "20260925") -> DataFrame:
+    """(key, batch): an independent sample of ``share`` of the pairs, one at least, shuffled anew and cut into batches."""
+    n = pairs.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("__k"))
+    picked = positions(pairs.select(key), key, seed + "/second", name="__p").join(F.broadcast(n), F.lit(True)).where("__p < __k")
+    return batches(picked.select(key), key, size, seed + "/order")
+
+
+def rebatched(pairs: DataFrame, key: str, graded: DataFrame, needed: DataFrame, size: int = 40, seed: str = "20260925") -> DataFrame:
+    """(key, part, batch): pairs (key, qid, doc_id) without a grade; those that ``needed`` (qid, doc_id) has come first (part p),
+    the others second (part q), each part in batches of its own."""
+    todo = pairs.join(graded.select(key), key, "left_anti")
+    first = todo.join(needed.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi").select(key).distinct()
+    second = todo.select(key).distinct().join(first, key, "left_anti")
+    return batches(first, key, size, seed).withColumn("part", F.lit("p")).unionByName(batches(second, key, size, seed).withColumn("part", F.lit("q"))).select(key, "part", "batch")
+
+
+def inherited(grades: DataFrame, variants: DataFrame) -> DataFrame:
+    """(qid, doc_id, grade): the base question's grades for every variant (qid, base) that has none of its own."""
+    without = variants.where("qid is not null and base is not null and qid <> base").distinct().join(grades.select("qid").distinct(), "qid", "left_anti")
+    got = without.join(grades.select(F.col("qid").alias("base"), "doc_id", "grade"), "base")
+    return got.groupBy("qid", "doc_id").agg(F.max("grade").alias("grade"))
+
+
+def cited(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, doc_id, grade): documents that a source cites by number: 3 for its own number, 2 for the others'.
+
+    ``sources`` has source, own (a number or null) and refs (numbers); ``targets`` doc_id and number. The higher grade counts."""
+    own = sources.where("own is not null").select("source", F.col("own").alias("number"), F.lit(3).alias("grade"))
+    refs = sources.select("source", F.explode("refs").alias("number"), F.lit(2).alias("grade"))
+    return own.unionByName(refs).distinct().join(targets.distinct(), "number").groupBy("source", "doc_id").agg(F.max("grade").alias("grade"))
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, total: int = 250, least: int = 5, seed: str = "20260925") -> DataFrame:

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import random
-from math import comb
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from relevia.sources import materialize
 
@@ -65,17 +63,47 @@ def bootstrap(table: DataFrame, value: str, cluster: str, n: int = 2000, alpha:
     return mean.join(bounds, F.lit(True))
 
 
-def _sign(wins: pd.Series, losses: pd.Series) -> pd.Series:
-    def p(w: int, l: int) -> float:  # noqa: E741
-        n, k = int(w + l), int(min(w, l))
-        return 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n)
+def bootstrap_by(table: DataFrame, by: str, values: list[str], cluster: str, n: int = 2000, alpha: float = 0.05) -> DataFrame:
+    """(by, value, mean, lo, hi) for several columns and slices at once, whose clusters are drawn together.
 
-    return pd.Series([p(w, l) for w, l in zip(wins, losses)])
+    Clusters are numbered once over the whole table; a replicate of a slice uses the drawn clusters that it has."""
+    keys = sums_before(table.select(F.col(cluster).cast("string").alias("c")).distinct(), "c", {"k": F.lit(1)}).select("c", F.col("k").cast("int").alias("k"))
+    long = table.select(F.col(cluster).cast("string").alias("c"), F.col(by).alias("g"), F.explode(F.array(*[F.struct(F.lit(v).alias("value"), F.col(v).cast("double").alias("x")) for v in values])).alias("e"))
+    sums = long.where("e.x is not null").groupBy("c", "g", F.col("e.value").alias("value")).agg(F.sum("e.x").alias("s"), F.count(F.lit(1)).alias("m"))
+    sums = materialize(sums.join(keys, "c").drop("c"))
+    size = keys.count()
+    mean = sums.groupBy("g", "value").agg((F.sum("s") / F.sum("m")).alias("mean"))
+    if not size:
+        return mean.select(F.col("g").alias(by), "value", "mean", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    d = draws(table.sparkSession, size, n).withColumnRenamed("m", "times").hint("merge")
+    reps = d.join(sums, "k").groupBy("g", "value", "rep").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("m"))).alias("x"))
+    ranked = F.sort_array(F.collect_list("x"))  # n numbers
+    bounds = reps.groupBy("g", "value").agg(F.get(ranked, F.lit(int(n * alpha / 2))).alias("lo"), F.get(ranked, F.lit(min(n - 1, int(n * (1 - alpha / 2))))).alias("hi"))
+    return mean.join(bounds, ["g", "value"]).withColumnRenamed("g", by)
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
-    """Two-sided exact sign test; 1 without wins and losses."""
-    return F.pandas_udf(_sign, DoubleType())(wins, losses)
+    """Two-sided exact sign test; 1 without wins and losses.
+
+    The binomial's terms are summed as powers of logarithms, so a million wins don't overflow; terms more than 60 roots of
+    n below the smaller side vanish in double precision and aren't made."""
+    k, n = F.least(wins, losses).cast("bigint"), (wins + losses).cast("bigint")
+
+    def tail(x: Column) -> Column:
+        low = F.greatest(F.lit(0).cast("bigint"), x["k"] - F.ceil(60 * F.sqrt(x["n"])))
+        log_n = log_factorial(x["n"]) - x["n"] * F.log(F.lit(2.0))
+        term = lambda i: F.exp(log_n - log_factorial(i) - log_factorial(x["n"] - i))
+        return F.aggregate(F.sequence(low, x["k"]), F.lit(0.0), lambda s, i: s + term(i))
+
+    p = F.get(F.transform(F.array(F.struct(k.alias("k"), n.alias("n"))), tail), F.lit(0))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * p))
+
+
+def log_factorial(n: Column) -> Column:
+    """The logarithm of n!: exact up to 20, then Stirling's series, whose error is below 1e-12."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * F.pi() * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    return F.when(n <= 20, F.log(F.factorial(n.cast("int")).cast("double"))).otherwise(series)
 
 
 def compare(pairs: DataFrame, by: list[str], value: str, dead: float = 1e-9) -> DataFrame:

@@ -53,23 +53,66 @@ def passages(pairs: DataFrame, chunks: DataFrame, n: int = 3, k1: float = 1.5, b
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+# How questions for a document are worded.
+TEMPLATES = {
+    "name": ["Найди файл {x}", "Где документ {x}", "Открой {x}", "{x}"],
+    "code": ["Найди файл {x}", "Где файл {x}", "Открой документ {x}", "{x}"],
+    "title": ["Найди документ {x}", "Где документ «{x}»", "{x}"],
+    "heading": ["Найди раздел {x}", "Где раздел «{x}»", "{x}"],
+}
+
+
+def first_words(text: Column, n: int) -> Column:
+    return F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text, T.SPACE, " ")), " "), 1, n), " ")
+
+
 def navigation(manifest: DataFrame, chunks: DataFrame, most: int = 15) -> DataFrame:
-    """(type, query, doc_id): questions that only one document answers by its name, its title, a code or a heading.
+    """(type, query, doc_id): questions that one document answers by its name, its title, a code or a heading.
 
-    name: the file's stem; title: where the stem doesn't contain it; code: a designation in one document's name only;
-    heading: a section of three to ``most`` words that one document alone has, the first in hash order."""
+    name: the file's stem; title: where the stem doesn't contain its words; code: the last designation that stands in this
+    stem only; heading: of the last parts of the sections of text documents (cards aside) with three words or more that this
+    document alone has, the first in hash order. Titles and headings are cut to ``most`` words; the wording is picked by hash."""
     m = manifest.where("doc_id is not null").groupBy("doc_id").agg(F.min("title").alias("title"))
     stem = F.regexp_replace(F.regexp_replace("doc_id", "^.*/", ""), r"\.[^.]*$", "")
-    m = m.select("doc_id", "title", stem.alias("stem"))
-    names = m.select(F.lit("name").alias("type"), F.col("stem").alias("query"), "doc_id")
-    titles = m.where(F.col("title").isNotNull() & ~T.junk_title(F.col("title")) & ~F.contains(F.lower("stem"), F.lower("title"))).select(F.lit("title"), "title", "doc_id")
-    codes = m.select("doc_id", F.explode(F.array_distinct(F.filter(F.split("stem", r"[\s,;()]+"), T.is_code))).alias("code"))
-    codes = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").select(F.lit("code"), "code", "doc_id")
-    words = F.size(F.split(F.trim("section"), r"\s+"))
-    heads = chunks.where("section is not null and doc_id is not null").select(F.trim("section").alias("section"), "doc_id", words.alias("w")).where(F.col("w").between(3, most)).select("section", "doc_id").distinct()
-    heads = heads.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    heads = heads.groupBy("doc_id").agg(F.min_by("section", F.struct(hash_order(F.col("section")).alias("h"), "section")).alias("section")).select(F.lit("heading"), "section", "doc_id")
-    return names.union(titles).union(codes).union(heads)
+    m = m.select("doc_id", F.trim("title").alias("title"), stem.alias("stem"))
+    names = m.select(F.lit("name").alias("type"), F.col("stem").alias("x"), "doc_id")
+    other = ~F.contains(T.padded(T.fold(F.col("stem"))), T.padded(T.fold(F.col("title"))))
+    titles = m.where(F.coalesce(F.col("title") != "", F.lit(False)) & other).select(F.lit("title"), first_words(F.col("title"), most), "doc_id")
+    codes = m.select("doc_id", F.posexplode(F.split("stem", T.SPACE)).alias("pos", "code")).where(T.is_code(F.col("code"))).withColumn("norm", T.norm_letters(F.col("code")))
+    own = codes.groupBy("norm").agg(F.count_distinct("doc_id").alias("n")).where("n = 1")
+    codes = codes.join(own, "norm", "left_semi").groupBy("doc_id").agg(F.max_by("code", "pos").alias("code")).select(F.lit("code"), "code", "doc_id")
+    text = F.coalesce("kind", F.lit("")) != "card" if "kind" in chunks.columns else F.lit(True)
+    part = F.trim(F.regexp_replace("section", "^.* › ", ""))
+    heads = chunks.where("section is not null and doc_id is not null").where(text & T.extension(F.col("doc_id")).isin("pdf", "docx", "pptx", "txt")).select("doc_id", part.alias("h")).distinct()
+    heads = heads.withColumn("norm", T.norm_letters(F.col("h")))
+    lone = heads.groupBy("norm").agg(F.count_distinct("doc_id").alias("n")).where("n = 1")
+    heads = heads.where(F.size(F.split("h", T.SPACE)) >= 3).join(lone, "norm", "left_semi")
+    heads = heads.groupBy("doc_id").agg(F.min_by("h", F.struct(hash_order(F.col("h")).alias("o"), "h")).alias("h")).select(F.lit("heading"), first_words(F.col("h"), most), "doc_id")
+    rows = names.union(titles).union(codes).union(heads)
+    pick = F.conv(F.left(hash_order(F.col("type"), F.col("doc_id")), F.lit(8)), 16, 10).cast("bigint")
+    worded = F.lit(None).cast("string")
+    for kind, forms in TEMPLATES.items():
+        form = F.element_at(F.array(*map(F.lit, forms)), (pick % len(forms) + 1).cast("int"))
+        worded = F.when(F.col("type") == kind, F.replace(form, F.lit("{x}"), F.col("x"))).otherwise(worded)
+    return rows.select("type", worded.alias("query"), "doc_id")
+
+
+def named_documents(asked: DataFrame, qid: str, query: str, manifest: DataFrame, most: int = 3) -> DataFrame:
+    """(qid, doc_id, hit_no): documents whose file name holds a designation of the question, where ``most`` documents at most
+    hold it; hits in the order of the question's designations, then of the documents.
+
+    A designation is a word of the question, its punctuation aside, with a digit and a letter or underscore; names hold it as
+    whole words. Names and questions meet on phrases of up to four words."""
+    stem = T.norm_letters(F.regexp_replace(F.regexp_replace("doc_id", "^.*/", ""), r"\.[^.]*$", ""))
+    names = manifest.where("doc_id is not null").select("doc_id").distinct().select("doc_id", F.split(stem, " ").alias("w"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.when(i + n - 1 <= F.size("w"), F.array_join(F.slice("w", i, n), " "))), lambda x: x.isNotNull())))
+    held = names.select("doc_id", F.explode(F.array_distinct(spans)).alias("phrase"))
+    few = held.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("phrase")
+    words = asked.where(F.col(qid).isNotNull()).select(F.col(qid).alias("qid"), F.posexplode(F.split(query, T.SPACE)).alias("pos", "raw"))
+    bare = F.regexp_replace("raw", r"""^[.,;:!?«»"'()\[\]]+|[.,;:!?«»"'()\[\]]+$""", "")
+    codes = words.select("qid", "pos", bare.alias("code")).where(T.is_code(F.col("code"))).select("qid", "pos", T.norm_letters(F.col("code")).alias("phrase"))
+    met = codes.join(few, "phrase", "left_semi").join(held, "phrase").groupBy("qid", "doc_id").agg(F.min("pos").alias("pos"))
+    return met.select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("pos", "doc_id")).alias("hit_no"))
 
 
 def tie_groups(scores: Column, keys: Column, tolerance: float = 1e-6) -> Column:

@@ -151,3 +151,39 @@ def fragments(chunks: DataFrame, n: int = 3) -> DataFrame:
     """Up to n chunks per (qid, doc_id) in rank order, cards left out."""
     w = Window.partitionBy("qid", "doc_id").orderBy("rank")
     return chunks.where(F.coalesce("kind", F.lit("")) != "card").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
+
+
+def place_metrics(places: DataFrame, by: str, k: int = 10) -> DataFrame:
+    """(by, n, hit_1, hit_k, mrr) of questions with one right document at place ``rank`` (null where it wasn't found), by
+    slice and for ``all``."""
+    r = F.when(F.col("rank") <= k, F.col("rank"))
+    g = places.groupingSets([[by], []], by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(r == 1, F.lit(False)).cast("double")).alias("hit_1"),
+        F.avg(r.isNotNull().cast("double")).alias(f"hit_{k}"), F.avg(F.coalesce(1.0 / r, F.lit(0.0))).alias("mrr"), F.grouping_id().alias("__g"),
+    )
+    return g.withColumn(by, F.when(F.col("__g") == 0, F.col(by)).otherwise("all")).drop("__g")
+
+
+def repeat_classes(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(qid, verdict): how the answers of one run (qid, docs: array of (doc_id, score), scores: chunk scores) repeat those of
+    another: exact; ties (other order among equal scores); cut (other documents only at the lowest chunk score); other.
+
+    Questions are those of ``b``; null scores count as 0."""
+    x = a.select("qid", F.col("docs").alias("da"), F.array_sort("scores").alias("sa"))
+    y = b.select("qid", F.col("docs").alias("db"), F.array_sort("scores").alias("sb"))
+
+    def near(p: Column, q: Column) -> Column:
+        return (F.size(p) == F.size(q)) & F.forall(F.zip_with(p, q, lambda u, v: F.abs(u - v) <= tolerance), lambda ok: F.coalesce(ok, F.lit(False)))
+
+    def part(c: str, field: str) -> Column:
+        return F.transform(c, lambda d: d[field])
+
+    def within(p: Column, q: Column) -> Column:
+        return F.forall(p, lambda d: F.exists(q, lambda e: (e["doc_id"] == d["doc_id"]) & (F.abs(e["score"] - d["score"]) <= tolerance)))
+
+    both = y.join(x, "qid", "left").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("da", "array<struct<doc_id:string,score:double>>"), ("sa", "array<double>"))})
+    scores = near(part("da", "score"), part("db", "score"))
+    apart = F.concat(F.array_except("da", "db"), F.array_except("db", "da"))
+    edge = near(F.col("sa"), F.col("sb")) & (F.size("sa") > 0) & F.forall(apart, lambda d: F.abs(d["score"] - F.get("sa", F.lit(0))) <= tolerance)
+    verdict = F.when(scores & (part("da", "doc_id") == part("db", "doc_id")), "exact").when(scores & within(F.col("da"), F.col("db")) & within(F.col("db"), F.col("da")), "ties").when(edge, "cut").otherwise("other")
+    return both.select("qid", verdict.alias("verdict"))

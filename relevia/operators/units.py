@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevia.functions import text as T
+from relevia.sources import materialize
 
 
 def neighbours(chunks: DataFrame, reach: int = 1) -> DataFrame:
@@ -109,10 +110,51 @@ def split_texts(texts: DataFrame, key: str, text: str, size: int = 1000, overlap
     return out.withColumnRenamed("key", key)
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, prefix: str = "", width: int = 7, buckets: int = 64) -> DataFrame:
-    """``rows`` with consecutive names from an explicit total order, counted within hashed buckets of the order's first column."""
-    w = Window.partitionBy("__u").orderBy(*order)
-    r = rows.withColumn("__u", F.pmod(F.xxhash64(order[0]), F.lit(buckets)))
-    off = r.groupBy("__u").count().withColumn("__o", F.coalesce(F.sum("count").over(Window.orderBy("__u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = F.row_number().over(w) - 1 + F.col("__o")
-    return r.join(F.broadcast(off.select("__u", "__o")), "__u").withColumn(name, F.concat(F.lit(prefix), F.lpad((n).cast("string"), width, "0"))).drop("__u", "__o")
+def numbered(rows: DataFrame, order: list[str], name: str, prefix: str = "", width: int = 7) -> DataFrame:
+    """``rows`` with consecutive names in an explicit total order, counted within ranges of it, nulls first.
+
+    The ranges are a table, as sampling could set their bounds anew."""
+    r = materialize(rows.repartitionByRange(*order).withColumn("__u", F.spark_partition_id()))
+    off = r.groupBy("__u").count().withColumn("__o", F.coalesce(F.sum("count").over(Window.orderBy("__u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per range
+    n = F.row_number().over(Window.partitionBy("__u").orderBy(*order)) - 1 + F.col("__o")
+    return r.join(F.broadcast(off.select("__u", "__o")), "__u").withColumn(name, F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))).drop("__u", "__o")
+
+
+def best_windows(pairs: DataFrame, most: int = 8, digits: int = 9) -> DataFrame:
+    """(ref, f1, first, last): the stretch of at most ``most`` lines whose bag of words is nearest a fact's; ``pairs`` has ref,
+    fact and lines.
+
+    Of equal stretches the first that begins earliest, then the shortest, counts; facts without words, or without a common
+    word, have no row. Only words of the fact leave a line, so a line weighs as many rows as it shares with the fact."""
+    rows = pairs.where("ref is not null").select("ref", T.tokens(F.col("fact")).alias("f"), F.transform("lines", T.tokens).alias("l")).where("size(f) > 0")
+    lines = rows.select("ref", "f", F.posexplode("l").alias("i", "w")).select("ref", "i", F.size("w").alias("n"), F.filter("w", lambda x: F.array_contains("f", x)).alias("w"))
+    windows = lines.select("ref", F.explode(F.sequence(F.greatest(F.col("i") - most + 1, F.lit(0)), F.col("i"))).alias("first"), "i", "n")
+    reach = windows.groupBy("ref", "first").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("s")).select("ref", "first", F.posexplode("s").alias("k", "x"), "s")
+    sizes = reach.select("ref", "first", F.col("x.i").alias("last"), F.aggregate(F.slice("s", F.lit(1), F.col("k") + 1), F.lit(0), lambda a, b: a + b["n"]).alias("size")).where(F.col("last") >= F.col("first"))
+    held = lines.select("ref", "i", F.explode("w").alias("word")).groupBy("ref", "i", "word").agg(F.count(F.lit(1)).alias("c"))
+    spans = sizes.select("ref", "first", "last", F.explode(F.sequence("first", "last")).alias("i")).join(held, ["ref", "i"]).groupBy("ref", "first", "last", "word").agg(F.sum("c").alias("c"))
+    wanted = rows.select("ref", F.explode("f").alias("word")).groupBy("ref", "word").agg(F.count(F.lit(1)).alias("want"))
+    common = spans.join(wanted, ["ref", "word"]).groupBy("ref", "first", "last").agg(F.sum(F.least("c", "want")).alias("both"))
+    total = wanted.groupBy("ref").agg(F.sum("want").alias("n"))
+    scored = common.join(sizes, ["ref", "first", "last"]).join(total, "ref").select("ref", "first", "last", F.round(2 * F.col("both") / (F.col("n") + F.col("size")), digits).alias("f1"))
+    best = scored.groupBy("ref").agg(F.max_by(F.struct("f1", "first", "last"), F.struct("f1", -F.col("first"), -F.col("last"))).alias("b"))
+    return best.select("ref", "b.f1", "b.first", "b.last")
+
+
+def packed(texts: DataFrame, key: str, text: str, most: int = 3500) -> DataFrame:
+    """(key, part, paragraphs, words): paragraphs packed one after another into parts of at most ``most`` words, from 1.
+
+    A longer paragraph is a part of its own; paragraphs are separated by lines without anything on them; null and blank texts
+    have no part. The running state is a fold over the numbers of words of a text, not its paragraphs."""
+    paras = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
+    counts = F.transform(paras, lambda p: F.size(F.filter(F.split(p, T.SPACE), lambda w: w != "")))
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), counts.alias("c"))
+    start = F.struct(F.lit(0).alias("part"), F.lit(0).alias("words"), F.array().cast("array<int>").alias("parts"))
+
+    def add(s: Column, n: Column) -> Column:
+        new = (s["part"] == 0) | (s["words"] + n > most)
+        part = F.when(new, s["part"] + 1).otherwise(s["part"])
+        return F.struct(part.alias("part"), F.when(new, n).otherwise(s["words"] + n).alias("words"), F.array_append(s["parts"], part).alias("parts"))
+
+    placed = rows.where("size(c) > 0").select("key", F.explode(F.arrays_zip(F.aggregate("c", start, add)["parts"].alias("part"), F.col("c").alias("n"))).alias("x"))
+    return placed.groupBy("key", F.col("x.part").alias("part")).agg(F.count(F.lit(1)).alias("paragraphs"), F.sum("x.n").alias("words")).withColumnRenamed("key", key)

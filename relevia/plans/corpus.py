@@ -35,8 +35,8 @@ def chunk_volumes(spark: SparkSession, sf: str) -> DataFrame:
     return Q.volumes(table(spark, sf, "chunks"), [F.split_part("doc_id", F.lit("/"), F.lit(1)), F.col("kind")])
 
 
-@query("""with r as (select doc_id, cid, list_filter(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x))),
-                 lambda x: length(x) between 5 and 80 and regexp_matches(x, '[^0-9 .,\\-—–\\[\\]/()%]')) as lines from chunks where text is not null and doc_id is not null),
+@query(f"""with r as (select doc_id, cid, list_filter(list_distinct(list_transform(string_split({OWN.format('text')}, chr(10)), lambda x: {NORM.format('x')})),
+                 lambda x: length(x) between 5 and 80 and not regexp_matches(x, '^[0-9]+$')) as lines from chunks where text is not null and doc_id is not null),
     s as (select doc_id, count(*) as size from r group by 1), l as (select doc_id, unnest(lines) as line from r),
     c as (select doc_id, line, count(*) as n from l group by 1, 2 having count(*) >= 3)
     select doc_id, line, n from c join s using (doc_id) where n >= 0.1 * size""")
@@ -53,9 +53,16 @@ def repeated_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return Q.repeated_chunks(table(spark, sf, "chunks"))
 
 
+UNCLEAN = {  # the patterns once more, in the other engine's spelling and without looking around
+    "nbsp": "chr(160) || '|' || chr(8239) || '|' || chr(8199)", "zero_width": "chr(8203) || '|' || chr(8204) || '|' || chr(8205) || '|' || chr(8288)",
+    "bom": "chr(65279)", "soft_hyphen": "chr(173)", "ctrl": "'[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F' || chr(127) || '-' || chr(159) || ']'", "symbol_pua": "'[' || chr(61440) || '-' || chr(61695) || ']'",
+    "cr": "chr(13)", "tab": "chr(9)", "spaces_2plus": "'[^\\s\\p{Z}]  +[^\\s\\p{Z}]'", "trailing_space": "' ' || chr(10)", "newlines_3plus": "chr(10) || chr(10) || chr(10)",
+}
+
+
 @query("""select regexp_extract(lower(doc_id), '\\.([^./]+)$', 1) as grp, count(*) as n,
-    """ + ", ".join(f"round(avg(cast(regexp_matches(text, '{p}') as integer)), 6) as {n}" for n, p in Q.HYGIENE.items()) + """,
-    round(avg(cast(len(regexp_extract_all(text, '\\p{L}{2,}')) < 3 as integer)), 6) as short from chunks where text is not null group by 1""")
+    """ + ", ".join(f"round(avg(cast(regexp_matches(text, {p}) as integer)), 6) as {n}" for n, p in UNCLEAN.items()) + f""",
+    round(avg(cast(len(regexp_extract_all({OWN.format('text')}, '[A-Za-zА-Яа-яЁё]{{2,}}')) < 3 as integer)), 6) as short from chunks where text is not null group by 1""")
 def chunk_hygiene(spark: SparkSession, sf: str) -> DataFrame:
     """Shares of chunks with unclean text, by format."""
     return evaluation.rounded(Q.hygiene(table(spark, sf, "chunks"), "text", T.extension(F.col("doc_id"))), *Q.HYGIENE, "short")
@@ -102,7 +109,7 @@ def passage_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """How much of the judged passages stands in their document, and in one of its chunks."""
     refs = table(spark, sf, "judge_pair").where("passages is not null").select("pid", "doc_id", F.array_join("passages", "\n").alias("text"))
     chunks = table(spark, sf, "chunks").select("cid", "doc_id", "text").distinct()
-    return evaluation.rounded(Q.gram_coverage(refs, "pid", "doc_id", "text", chunks, "doc_id", "cid", "text"), "in_doc", "in_chunk")
+    return evaluation.rounded(Q.gram_coverage(refs, "pid", "doc_id", "text", chunks, "doc_id", "cid", "text").drop("best"), "in_doc", "in_chunk")
 
 
 @query("""with c as (select distinct cid, doc_id, idx from chunks where doc_id is not null and idx is not null)
@@ -126,7 +133,18 @@ def stitched_sections(spark: SparkSession, sf: str) -> DataFrame:
     return U.stitched(c, ["doc_id", "section"])
 
 
-@query()
+WORDS = "' ' || array_to_string(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), ' ') || ' '"
+
+
+def card(text: str, label: str, column: str) -> str:
+    value = f"left(trim({column}), 300)"
+    return f"case when coalesce({value} <> '', false) and not contains({WORDS.format('t')}, {WORDS.format(value)}) then t || chr(10) || '{label}: ' || {value} else t end"
+
+
+@query(f"""with m as (select doc_id, min(title) as title, min(dataset) as dataset, min(key) as key from manifest where doc_id is not null group by 1),
+    a as (select *, 'Документ: ' || regexp_replace(regexp_replace(doc_id, '^.*/', ''), '\\.[^.]*$', '') as t from m),
+    b as (select * replace ({card('t', 'Название', 'title')} as t) from a), c as (select * replace ({card('t', 'Раздел', 'dataset')} as t) from b),
+    d as (select * replace ({card('t', 'Ключ', 'key')} as t) from c) select doc_id, t as text from d""")
 def document_cards(spark: SparkSession, sf: str) -> DataFrame:
     """A card per document."""
     return U.cards(table(spark, sf, "manifest"))

@@ -147,7 +147,11 @@ def compare_runs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(c, "mean_a", "mean_b", "delta").drop("slice", "p")
 
 
-@query()
+@query(f"""with {RANKING}, {GOLD}, {METRICS}, kinds as (select qid, min(scenario) as scenario from queries group by 1),
+    d as (select scenario, a.ndcg as x, b.ndcg as y, b.ndcg - a.ndcg as d from per a join per b using (qid) join kinds using (qid) where a.run_id = 'P3' and b.run_id = 'P4'),
+    g as (select scenario, count(*) as n, round(avg(x), 6) as mean_a, round(avg(y), 6) as mean_b, round(avg(d), 6) as delta, count(*) filter (d > 1e-9) as wins, count(*) filter (d < -1e-9) as losses from d group by 1)
+    select *, round(case when wins + losses = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1),
+        lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))))) end, 6) as p from g""")
 def compare_runs_sign_test(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs by scenario with the exact sign test."""
     kinds = table(spark, sf, "queries").groupBy("qid").agg(F.min("scenario").alias("scenario"))

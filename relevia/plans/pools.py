@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relevia.operators import grades as G
 from relevia.operators import judging as J
 from relevia.operators import quality as Q
 from relevia.operators import ranking as R
 from relevia.operators import units as U
 from relevia.plans import evaluation
-from relevia.plans.corpus import TOK
+from relevia.plans.corpus import NORM, OWN, TOK
 from relevia.plans.register import register
 from relevia.sources import table
 
@@ -19,7 +20,6 @@ ORACLES: dict = {}
 query = register(QUERIES, ORACLES)
 
 STEM = "regexp_replace(regexp_replace(doc_id, '^.*/', ''), '\\.[^.]*$', '')"
-SUMS = "list_distinct(list_filter(list_transform(regexp_extract_all({0}, '[0-9]{{1,3}}(?:[ \\x{{00A0}}\\x{{2009}}\\x{{202F}}][0-9]{{3}})+|[0-9]{{4,}}'), lambda x: regexp_replace(x, '[ \\x{{00A0}}\\x{{2009}}\\x{{202F}}]', '', 'g')), lambda x: not regexp_matches(x, '^(?:19|20)[0-9]{{2}}$') and try_cast(x as double) >= 1000))"
 
 
 @query(f"""with {evaluation.RANKING}, {evaluation.GOLD},
@@ -58,15 +58,27 @@ def judge_passages(spark: SparkSession, sf: str) -> DataFrame:
     return J.passages(pairs, table(spark, sf, "chunks").where("doc_id is not null").select("cid", "doc_id", "text").distinct())
 
 
-@query(f"""with m as (select doc_id, min(title) as title, {STEM} as stem from manifest where doc_id is not null group by doc_id),
-    c as (select doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(stem, '[\\s,;()]+'), lambda x: regexp_matches(x, '[0-9]') and regexp_matches(x, '[\\p{{L}}_]')))) as code from m),
-    h as (select distinct trim(section) as section, doc_id from chunks where section is not null and doc_id is not null and len(regexp_split_to_array(trim(section), '\\s+')) between 3 and 15),
-    u as (select section, min(doc_id) as doc_id from h group by 1 having count(*) = 1)
-    select 'name' as type, stem as query, doc_id from m
-    union all select 'title', title, doc_id from m where title is not null and not contains(lower(stem), lower(title))
-        and not regexp_matches(trim(title), '(?i)^(?:|untitled|без названия|документ[0-9]*|document[0-9]*|microsoft .*|[^\\p{{L}}]+|.*\\.(?:docx?|pptx?|pdf|xlsx?|txt))$')
-    union all select 'code', code, min(doc_id) from c group by code having count(*) = 1
-    union all select 'heading', arg_min(section, md5('20260925|' || section) || section), doc_id from u group by doc_id""")
+LETTERS = "trim(regexp_replace(replace(lower({0}), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+PADDED = "' ' || trim(regexp_replace(replace(lower({0}), 'ё', 'е'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g')) || ' '"
+CUT = "array_to_string(regexp_split_to_array(trim(regexp_replace({0}, '[\\s\\p{{Z}}]+', ' ', 'g')), ' ')[1:15], ' ')"
+NAVIGATION = f"""
+    nm as (select doc_id, trim(min(title)) as title, {STEM} as stem from manifest where doc_id is not null group by doc_id),
+    nc as (select doc_id, code, pos, {LETTERS.format('code')} as n from (select doc_id, unnest(w) as code, generate_subscripts(w, 1) as pos from (select doc_id, regexp_split_to_array(stem, '[\\s\\p{{Z}}]+') as w from nm))
+           where regexp_matches(code, '[0-9]') and regexp_matches(code, '[\\p{{L}}_]')),
+    nu as (select n from nc group by 1 having count(distinct doc_id) = 1),
+    nh as (select distinct doc_id, h, {LETTERS.format('h')} as n from (select doc_id, trim(regexp_replace(section, '^.* › ', '')) as h from chunks
+           where section is not null and doc_id is not null and coalesce(kind, '') <> 'card' and regexp_extract(lower(doc_id), '\\.([^./]+)$', 1) in ('pdf', 'docx', 'pptx', 'txt'))),
+    nl as (select n from nh group by 1 having count(distinct doc_id) = 1),
+    nx as (select 'name' as type, stem as x, doc_id from nm
+           union all select 'title', {CUT.format('title')}, doc_id from nm where coalesce(title <> '', false) and not contains({PADDED.format('stem')}, {PADDED.format('title')})
+           union all select 'code', arg_max(code, pos), doc_id from nc semi join nu using (n) group by doc_id
+           union all select 'heading', {CUT.format("arg_min(h, md5('20260925|' || h) || h)")}, doc_id from nh semi join nl using (n) where len(regexp_split_to_array(h, '[\\s\\p{{Z}}]+')) >= 3 group by doc_id),
+    nav as (select type, doc_id, replace(case type when 'name' then ['Найди файл #', 'Где документ #', 'Открой #', '#'][p % 4 + 1] when 'code' then ['Найди файл #', 'Где файл #', 'Открой документ #', '#'][p % 4 + 1]
+                when 'title' then ['Найди документ #', 'Где документ «#»', '#'][p % 3 + 1] else ['Найди раздел #', 'Где раздел «#»', '#'][p % 3 + 1] end, '#', x) as query
+            from (select *, cast('0x' || substr(md5('20260925|' || type || '|' || doc_id), 1, 8) as bigint) as p from nx))"""
+
+
+@query(f"with {NAVIGATION} select type, query, doc_id from nav")
 def navigation_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Questions with one document as their answer."""
     return J.navigation(table(spark, sf, "manifest"), table(spark, sf, "chunks"))
@@ -82,10 +94,14 @@ def answerable_questions(spark: SparkSession, sf: str) -> DataFrame:
     return R.answerable(g).join(ok, "qid", "left").select("qid", F.coalesce("indexed", F.lit(False)).alias("indexed"))
 
 
-@query(f"""with r as (select distinct pid as ref, doc_id, need as t from judge_pair where need is not null),
-    w as (select distinct ref, doc_id, unnest({SUMS.format('t')}) as num from r),
-    h as (select distinct doc_id, unnest({SUMS.format('text')}) as num from chunks where doc_id is not null and text is not null)
-    select ref, count(*) as numbers, count(h.num) as found from w left join h using (doc_id, num) group by 1""")
+FLAT = "regexp_replace(regexp_replace({0}, '([0-9])[\\s\\p{{Z}},.]([0-9])', '\\1\\2', 'g'), '([0-9])[\\s\\p{{Z}},.]([0-9])', '\\1\\2', 'g')"
+
+
+@query(f"""with w as (select distinct pid as ref, doc_id, unnest(list_filter(list_transform(regexp_extract_all(need, '[0-9][0-9\\s\\p{{Z}},.]*[0-9]'), lambda x: regexp_replace(x, '[\\s\\p{{Z}},.]', '', 'g')),
+                 lambda x: length(x) >= 4 and not regexp_matches(x, '^20[12][0-9]$'))) as num from judge_pair where need is not null),
+    c as (select distinct doc_id, {FLAT.format('text')} as flat from chunks where doc_id is not null and text is not null),
+    h as (select distinct ref, doc_id, num from w join c using (doc_id) where contains(flat, num))
+    select ref, count(*) as numbers, count(h.num) as found from w left join h using (ref, doc_id, num) group by 1""")
 def number_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers of the judged needs that their document holds."""
     refs = table(spark, sf, "judge_pair").where("need is not null").select("pid", "doc_id", F.col("need").alias("text"))
@@ -101,13 +117,25 @@ def overlapping_pages(spark: SparkSession, sf: str) -> DataFrame:
     return U.overlapping_pages(c, c.where("kind = 'notes'").select(F.col("cid").alias("span"), "doc_id", "page_start", "page_end"))
 
 
-@query("""with t as (select distinct cid, title, text from chunks where title is not null and text is not null),
-    w as (select cid, list_transform(regexp_extract_all(replace(lower(title), 'ё', 'е'), '\\p{L}{4,}'), lambda x: left(x, 5))[1:6] as stems,
-                 regexp_replace(text, '^((Документ|Раздел|Лист|Таблица): [^\\n]*\\n)+', '') as own from t)
-    select cid, case when len(stems) > 0 then len(list_filter(stems, lambda s: contains(replace(lower(own), 'ё', 'е'), s))) * 2 >= len(stems) end as has_title from w""")
-def title_in_chunk(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a chunk speaks of its document's title."""
-    return Q.title_context(table(spark, sf, "chunks").select("cid", "title", "text").distinct())
+@query(f"""with t as (select distinct cid, doc_id, title, {NORM.format('text')} as low, {NORM.format('title')} as name from chunks where title is not null and text is not null),
+    w as (select *, list_transform(list_filter({TOK.format("regexp_replace(title, '\\.(pdf|docx|pptx|txt|xlsx)$', '')")}, lambda x: length(x) >= 4 and not regexp_matches(x, '^[0-9]+$')), lambda x: left(x, 5))[1:6] as stems,
+                 nullif(regexp_extract(' ' || name || ' ', '[^0-9]([0-9]{{1,5}}-[а-я]{{1,3}})[^а-я]', 1), '') as number, nullif(regexp_extract(' ' || title || ' ', '[^0-9]((?:19|20)[0-9]{{2}})[^0-9]', 1), '') as year from t)
+    select cid, doc_id, len(stems) > 0 and len(list_filter(stems, lambda s: contains(low, s))) * 2 >= len(stems) as has_title,
+           case when number is not null then regexp_matches(' ' || low || ' ', '[^0-9]' || split_part(number, '-', 1) || '\\s*[^\\p{{L}}\\p{{N}}_]?\\s*' || split_part(number, '-', 2) || '[^а-я]') end as has_number,
+           case when year is not null then regexp_matches(' ' || low || ' ', '[^0-9]' || year || '[^0-9]') end as has_year from w""")
+def chunk_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a chunk speaks of its document's title, act number and year."""
+    return Q.context(table(spark, sf, "chunks").select("cid", "doc_id", "title", "text").distinct())
+
+
+@query(f"""with c as (select split_part(doc_id, '/', 1) as grp, {OWN.format('text')} as t from chunks where text is not null)
+    select grp, count(*) as chunks, sum(len(regexp_extract_all(t, '[A-Za-zА-Яа-яЁё][-\\x{{00AD}}\\x{{2010}}\\x{{00AC}}\\x02\\x1F]\\s*\\n\\s*[a-zа-яё]')))::bigint as breaks,
+           sum(len(regexp_extract_all(t, '[A-Za-zА-Яа-яЁё][\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]\\s*\\n?\\s*[a-zа-яё]')))::bigint as control_breaks,
+           count(*) filter (contains(t, chr(173))) as soft_hyphens, count(*) filter (regexp_matches(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')) as controls,
+           count(*) filter (regexp_matches(t, 'БАНК\\s+РОССИИ')) as phrase_upper, count(*) filter (regexp_matches(lower(t), 'банк\\s+россии')) as phrase_any from c group by 1""")
+def text_defects(spark: SparkSession, sf: str) -> DataFrame:
+    """Traces of page layout left in the chunks, by dataset."""
+    return Q.text_defects(table(spark, sf, "chunks"), F.split_part("doc_id", F.lit("/"), F.lit(1)), r"банк\s+россии")
 
 
 @query()
@@ -120,3 +148,42 @@ def tied_places(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("qid", F.size("g").alias("groups_a"), F.size("h").alias("groups_b"), (F.col("g") == F.col("h")).alias("same"))
 
 
+@query("""with p as (select distinct pid from judge_pair where pid is not null), n as (select greatest(1, floor(count(*) * 0.2)) as k from p),
+    o as (select pid, row_number() over (order by md5('20260925/second|' || pid), pid) as i from p), s as (select pid from o, n where i <= k)
+    select pid, cast((row_number() over (order by md5('20260925/order|' || pid), pid) - 1) // 40 as integer) as batch from s""")
+def second_opinions(spark: SparkSession, sf: str) -> DataFrame:
+    """A fifth of the pairs for a second opinion, in batches (a sampling operator)."""
+    return G.second_opinions(table(spark, sf, "judge_pair").where("pid is not null").select("pid").distinct(), "pid")
+
+
+BATCHED = "b as (select pid, cast((row_number() over (order by md5('20260925|' || pid), pid) - 1) // 40 as integer) as batch from (select distinct pid from judge_pair where pid is not null))"
+
+
+def graded(which: str) -> str:
+    return f"select distinct pid from grades_{which} where pid is not null and grade between 0 and 3"
+
+
+@query(f"""with {BATCHED}, g as (select 'a' as opinion, pid from ({graded('a')}) union all select 'b', pid from ({graded('b')})),
+    r as (select o.opinion, b.batch, b.pid, exists (select 1 from g where g.opinion = o.opinion and g.pid = b.pid) as done from b cross join (select unnest(['a', 'b']) as opinion) o)
+    select opinion, batch, count(*) as pairs, count(*) filter (not done) as ungraded from r group by 1, 2 having count(*) filter (not done) > 0""")
+def open_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches that still have a pair without a first or without a second opinion."""
+    b = G.batches(table(spark, sf, "judge_pair").where("pid is not null").select("pid").distinct(), "pid")
+    out = None
+    for which in ("a", "b"):
+        done = G.first_opinion(table(spark, sf, f"grades_{which}")).select("pid", F.lit(1).alias("done"))
+        one = b.join(done, "pid", "left").groupBy("batch").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("done").isNull()).alias("ungraded")).where("ungraded > 0")
+        one = one.select(F.lit(which).alias("opinion"), "batch", "pairs", "ungraded")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""with {evaluation.RANKING},
+    t as (select distinct pid, qid, doc_id from judge_pair where pid is not null and pid not in ({graded('b')})),
+    n as (select distinct qid, doc_id from ranking where rank <= 10), f as (select distinct t.pid, exists (select 1 from n where n.qid = t.qid and n.doc_id = t.doc_id) as need from t),
+    g as (select pid, bool_or(need) as need from f group by 1)
+    select pid, case when need then 'p' else 'q' end as part, cast((row_number() over (partition by need order by md5('20260925|' || pid), pid) - 1) // 40 as integer) as batch from g""")
+def rebatched_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs without a second opinion: those among the first ten of a run first, the others after them."""
+    pairs = table(spark, sf, "judge_pair").where("pid is not null").select("pid", "qid", "doc_id").distinct()
+    return G.rebatched(pairs, "pid", G.first_opinion(table(spark, sf, "grades_b")), evaluation.ranking(spark, sf).where("rank <= 10"))

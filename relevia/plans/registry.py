@@ -1,6 +1,7 @@
 """Registered queries of the core operators and their SQL counterparts."""
 
-from relevia.plans import corpus, evaluation, pools, search
+from relevia.plans import comparison, corpus, evaluation, pools, search, texts
 
-QUERIES: dict = {**evaluation.QUERIES, **search.QUERIES, **corpus.QUERIES, **pools.QUERIES}
-ORACLES: dict = {**evaluation.ORACLES, **search.ORACLES, **corpus.ORACLES, **pools.ORACLES}
+PARTS = (evaluation, search, corpus, pools, comparison, texts)
+QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevia.functions import text as T
+from relevia.operators import judging as J
 from relevia.operators import ranking as R
 from relevia.operators import retrieval as S
-from relevia.plans import evaluation
+from relevia.plans import evaluation, pools
 from relevia.plans.register import register
 from relevia.sources import table
 
@@ -60,20 +61,20 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     r as (select qid, rank, case when a.label = b.label then 3 else 0 end as g from near join v a on a.vec_id = qid join v b on b.vec_id = key where rank <= 10),
     n as (select label, count(*) - 1 as n from v group by 1)
     select qid, round(sum(g / log2(rank + 1)) / (select sum(3 / log2(i + 1)) from range(1, 11) t(i)), 6) as ndcg,
-           coalesce(round(1.0 / min(case when g > 0 then rank end), 6), 0.0) as mrr, round(count(*) filter (g > 0) / max(n), 6) as recall
-    from r join v on v.vec_id = qid join n using (label) where n >= 10 group by qid""")
+           coalesce(round(1.0 / min(case when g > 0 then rank end), 6), 0.0) as mrr, coalesce(round(count(*) filter (g > 0) / nullif(max(n), 0), 6), 0.0) as recall
+    from r join v on v.vec_id = qid join n using (label) group by qid""")
 def vector_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Ranking metrics of vector search with equal labels as relevant."""
     e = table(spark, sf, "embeddings").where("vec_id is not null and embedding is not null")
     near = nearest(spark, sf)
     q, d = e.select(F.col("vec_id").alias("qid"), "label"), e.select(F.col("vec_id").alias("key"), F.col("label").alias("other"))
-    n = e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n")).where("n >= 10")
+    n = e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n"))
     g = F.when(F.col("label") == F.col("other"), 3.0).otherwise(0.0)
     ideal = sum(3 / log2(i + 1) for i in range(1, 11))
     per = near.join(q, "qid").join(d, "key").join(n, "label").groupBy("qid").agg(
         F.round(F.sum(g / F.log2(F.col("rank") + 1.0)) / ideal, 6).alias("ndcg"),
         F.coalesce(F.round(1.0 / F.min(F.when(g > 0, F.col("rank"))), 6), F.lit(0.0)).alias("mrr"),
-        F.round(F.count_if(g > 0) / F.max("n"), 6).alias("recall"),
+        F.coalesce(F.round(F.try_divide(F.count_if(g > 0), F.max("n")), 6), F.lit(0.0)).alias("recall"),
     )
     return per
 
@@ -115,30 +116,57 @@ def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {evaluation.RANKING},
-    m as (select doc_id, min(lower(trim(title))) as digest from manifest group by 1),
+    c as (select distinct doc_id, idx, text from chunks where doc_id is not null and text is not null),
+    m as (select doc_id, count(*) || ':' || sum(cast('0x' || substr(md5(coalesce(cast(idx as varchar), '') || '|' || text), 1, 15) as bigint)) as digest from c group by 1),
     r as (select run_id, qid, rank, digest, row_number() over (partition by run_id, qid, digest order by rank) as n from ranking left join m using (doc_id)),
-    p as (select run_id, qid, count(*) as slots, count(*) filter (digest is not null and n > 1) as copies from r group by 1, 2)
-    select cast(sum(slots) as bigint) as slots, cast(sum(copies) as bigint) as copies, count(*) filter (copies > 0) as lists_with_copies from p""")
+    p as (select run_id, qid, count(*) as slots, count(*) filter (digest is not null) as known, count(*) filter (digest is not null and n > 1) as copies from r group by 1, 2)
+    select cast(sum(slots) as bigint) as slots, cast(sum(known) as bigint) as known, cast(sum(copies) as bigint) as copies, count(*) filter (copies > 0) as lists_with_copies from p""")
 def copies_in_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Places taken by documents whose title stood higher in the same list."""
-    names = table(spark, sf, "manifest").groupBy("doc_id").agg(F.min(F.lower(F.trim("title"))).alias("digest"))
-    r = evaluation.ranking(spark, sf).join(names, "doc_id", "left").select(F.struct("run_id", "qid").alias("qid"), "rank", "digest")
-    return S.copy_slots(r, "digest")
-
-
-@query(f"""with {evaluation.RANKING},
-    n as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(doc_id, '^.*/', '')), '[0-9]{{1,5}}-[а-я]{{1,3}}'))) as code from (select distinct doc_id from manifest)),
-    o as (select code from n group by 1 having count(*) between 1 and 3),
-    q as (select distinct qid, unnest(regexp_extract_all(lower(query), '[0-9]{{1,5}}-[а-я]{{1,3}}')) as code from queries)
-    select distinct qid, doc_id from q join o using (code) join n using (code)""")
+    """Places taken by documents whose content, as a sum over its chunks, stood higher in the same list."""
+    c = table(spark, sf, "chunks").where("doc_id is not null and text is not null").select("doc_id", "idx", "text").distinct()
+    part = F.conv(F.left(F.md5(F.concat_ws("|", F.coalesce(F.col("idx").cast("string"), F.lit("")), F.col("text")).cast("binary")), F.lit(15)), 16, 10).cast("decimal(20,0)")
+    digests = c.groupBy("doc_id").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(part).cast("string")).alias("digest"))
+    r = evaluation.ranking(spark, sf).join(digests, "doc_id", "left").select(F.struct("run_id", "qid").alias("qid"), "rank", "digest")
+    known = r.agg(F.count("digest").alias("known"))
+    return S.copy_slots(r, "digest").join(F.broadcast(known), F.lit(True)).select("slots", "known", "copies", "lists_with_copies")
+
+
+@query(f"""with {pools.NAVIGATION},
+    q as (select qid, query from queries where qid is not null union select 'nav:' || type || ':' || doc_id, query from nav),
+    w as (select qid, unnest(x) as raw, generate_subscripts(x, 1) as pos from (select qid, regexp_split_to_array(query, '[\\s\\p{{Z}}]+') as x from q)),
+    b as (select qid, pos, regexp_replace(raw, '^[.,;:!?«»"''()\\[\\]]+|[.,;:!?«»"''()\\[\\]]+$', '', 'g') as code from w),
+    k as (select qid, pos, {pools.LETTERS.format('code')} as n from b where regexp_matches(code, '[0-9]') and regexp_matches(code, '[\\p{{L}}_]')),
+    d as (select distinct doc_id, ' ' || {pools.LETTERS.format(pools.STEM)} || ' ' as name from manifest where doc_id is not null),
+    h as (select n, doc_id from (select distinct n from k) join d on contains(name, ' ' || n || ' ')),
+    o as (select n from h group by 1 having count(*) <= 3),
+    m as (select qid, doc_id, min(pos) as pos from k semi join o using (n) join h using (n) group by 1, 2)
+    select qid, doc_id, cast(row_number() over (partition by qid order by pos, doc_id) as integer) as hit_no from m""")
 def code_owners(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents named by an act number of the question, where at most three documents carry it."""
-    code = F.lit("[0-9]{1,5}-[а-я]{1,3}")
-    names = table(spark, sf, "manifest").select("doc_id").distinct()
-    names = names.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("doc_id", "^.*/", "")), code, 0))).alias("code"))
-    few = names.groupBy("code").count().where("count <= 3").select("code")
-    asked = table(spark, sf, "queries").select("qid", F.explode(F.regexp_extract_all(F.lower("query"), code, 0)).alias("code")).distinct()
-    return asked.join(few, "code", "left_semi").join(names, "code").select("qid", "doc_id").distinct()
+    """Documents named by a designation of the question, where at most three documents carry it; questions of the table and for navigation."""
+    m = table(spark, sf, "manifest")
+    nav = J.navigation(m, table(spark, sf, "chunks")).select(F.concat_ws(":", F.lit("nav"), "type", "doc_id").alias("qid"), "query")
+    asked = table(spark, sf, "queries").select("qid", "query").union(nav).distinct()
+    return J.named_documents(asked, "qid", "query", m)
+
+
+TWENTIETH = "cast('0x' || substr(md5(type || doc_id), 1, 8) as bigint) % 20 = 0"
+
+
+@query(f"""with {pools.NAVIGATION},
+    {okapi("select doc_id as key, doc_id as grp, {0} || ' ' || coalesce(min(title), '') || ' ' || coalesce(min(key), '') as text from manifest where doc_id is not null group by doc_id".format(pools.STEM), "select type || ':' || doc_id as qid, query from nav where " + TWENTIETH)},
+    r as (select n.type, b.rank from nav n left join bm b on b.qid = n.type || ':' || n.doc_id and b.key = n.doc_id where cast('0x' || substr(md5(n.type || n.doc_id), 1, 8) as bigint) % 20 = 0)
+    select coalesce(type, 'all') as type, count(*) as n, round(avg(case when rank = 1 then 1.0 else 0.0 end), 6) as hit_1, round(avg(case when rank is not null then 1.0 else 0.0 end), 6) as hit_10,
+           round(avg(coalesce(1.0 / rank, 0.0)), 6) as mrr from r group by grouping sets ((type), ())""")
+def navigation_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """How well lexical search over the document cards finds the document of every twentieth navigation question, by type."""
+    m = table(spark, sf, "manifest").where("doc_id is not null").groupBy("doc_id").agg(F.min("title").alias("title"), F.min("key").alias("k"))
+    stem = F.regexp_replace(F.regexp_replace("doc_id", "^.*/", ""), r"\.[^.]*$", "")
+    cards = m.select("doc_id", F.concat_ws(" ", stem, "title", "k").alias("text"))
+    nav = J.navigation(table(spark, sf, "manifest"), table(spark, sf, "chunks")).where(F.conv(F.left(F.md5(F.concat("type", "doc_id").cast("binary")), F.lit(8)), 16, 10).cast("bigint") % 20 == 0)
+    nav = nav.withColumn("qid", F.concat_ws(":", "type", "doc_id"))
+    found = S.bm25(cards, "doc_id", "text", nav, "qid", "query")
+    at = nav.join(found.select("qid", F.col("key").alias("doc_id"), "rank"), ["qid", "doc_id"], "left")
+    return evaluation.rounded(R.place_metrics(at, "type"), "hit_1", "hit_10", "mrr")
 
 
 @query(f"""with {evaluation.RANKING}, q as (select qid, min(dataset) as qd from queries group by 1),

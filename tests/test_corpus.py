@@ -1,6 +1,8 @@
 """Quality and text units on small tables."""
 
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -17,10 +19,10 @@ def chunks(spark, rows):
 
 def test_boilerplate_repeats_and_hygiene(spark):
     c = chunks(spark, [(i, "d", i, f"Банк России\nстрока {i} текста\n12") for i in range(4)] + [(9, "d", 9, " БАНК  России\nстрока 3 текста\n12"), (10, "e", 1, None), (11, "e", 2, "")])
-    assert [tuple(x) for x in Q.boilerplate(c, "cid").collect()] == [("d", "Банк России", 4)]
+    assert [tuple(x) for x in Q.boilerplate(c, "cid").collect()] == [("d", "банк россии", 5)]
     assert [tuple(x) for x in Q.repeated_chunks(c).collect()] == [("d", 5, 1)]
     h = Q.hygiene(c, "text", F.lit("all")).first()
-    assert h.n == 6 and h.double_space == 1 / 6 and h.short == 1 / 6
+    assert h.n == 6 and h.spaces_2plus == 1 / 6 and h.short == 1 / 6
     assert Q.hygiene(c.where("false"), "text", F.lit("all")).count() == 0
 
 
@@ -87,5 +89,67 @@ def test_cards_splitting_and_numbers(spark):
         assert all(text[x.char_start : x.char_start + len(x.text)] == x.text and len(x.text) <= 1000 for x in parts)
         assert parts[0].char_start == 0 and parts[-1].char_start + len(parts[-1].text) == len(text)
     assert {x.k for x in got} == {1, 4}
-    names = [x.n for x in U.numbered(spark.range(50), ["id"], "n", "p", 4).collect()]
-    assert sorted(names) == [f"p{i:04}" for i in range(50)]
+    ids = spark.range(50).selectExpr("id * 37 % 101 as k", "id % 3 as g")
+    for order in (["k"], ["g", "k"]):
+        rows = sorted(U.numbered(ids, order, "n", "p", 4).collect(), key=lambda x: [x[c] for c in order])
+        assert [x.n for x in rows] == [f"p{i:04}" for i in range(50)]
+    assert U.numbered(ids.where("false"), ["k"], "n").count() == 0
+
+
+def test_context_and_defects(spark):
+    kind = "cid bigint, doc_id string, title string, text string"
+    rows = [(1, "a/x", "Акт 154-И за 2019 год.pdf", "В акте № 154 - И указано"), (2, "a/x", "Акт 154-И за 2019 год.pdf", "154-ИС, 12019 и 2019"), (3, "a/y", "Обзор рисков банка", "обзоры и рискованный банк"), (4, "a/y", "12", "текст"), (5, None, None, "x")]
+    got = {x.cid: (x.has_title, x.has_number, x.has_year) for x in Q.context(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: (False, True, False), 2: (False, False, True), 3: (True, None, None), 4: (False, None, None)}
+    texts = [(1, "d", "t", "кре-\nдит и вы\u00adдача"), (2, "d", "t", "Документ: x\nБАНК  РОССИИ"), (3, "d", "t", "Банк\nРоссии \x02"), (4, "e", "t", None)]
+    d = Q.text_defects(spark.createDataFrame(texts, kind), F.col("doc_id"), r"банк\s+россии").collect()
+    assert [tuple(x) for x in d] == [("d", 3, 1, 0, 1, 1, 1, 2)]
+
+
+def test_numbers_inside_longer_ones(spark):
+    c = spark.createDataFrame([("d", "всего 1 234 567,8 руб."), ("e", "8 765")], "doc_id string, text string")
+    refs = spark.createDataFrame([("r", "d", "сумма 234567 и 2345 678, в 2019 году 99 99"), ("s", "d", "нет чисел"), (None, "d", "1234")], "ref string, doc string, text string")
+    assert {x.ref: (x.numbers, x.found) for x in Q.number_coverage(refs, "ref", "doc", "text", c).collect()} == {"r": (3, 2), None: (1, 1)}
+
+
+def test_packing_against_a_loop(spark):
+    r = random.Random(8)
+    texts = [(i, "\n\n".join(" ".join("w" * r.choice([1, 3]) for _ in range(r.choice([1, 5, 30]))) + r.choice(["", "\nx"]) for _ in range(r.randrange(12)))) for i in range(40)] + [(100, None), (101, " \n\n \n")]
+    want = set()
+    for k, t in texts:
+        part, words, n = 0, 0, {}
+        for p in [p for p in re.split(r"\n\s*\n", t or "") if p.strip()]:
+            w = len(p.split())
+            if not part or words + w > 35:
+                part, words = part + 1, 0
+            words += w
+            a, b = n.get(part, (0, 0))
+            n[part] = a + 1, b + w
+        want |= {(k, part, a, b) for part, (a, b) in n.items()}
+    got = U.packed(spark.createDataFrame(texts, "k bigint, t string"), "k", "t", 35).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_best_window_against_a_loop(spark):
+    r = random.Random(9)
+    word = lambda: r.choice("абвгдежз")
+    rows = [(str(i), " ".join(word() for _ in range(6)), [" ".join(word() for _ in range(r.randrange(5))) for _ in range(12)]) for i in range(15)] + [("none", "я", ["а"]), ("empty", "", ["а"]), ("dry", "а", [])]
+    got = {x.ref: (x.f1, x.first, x.last) for x in U.best_windows(spark.createDataFrame(rows, "ref string, fact string, lines array<string>"), 4).collect()}
+    want = {}
+    for ref, fact, lines in rows:
+        ft, best = Counter(fact.split()), (0.0, None, None)
+        for i in range(len(lines)):
+            wc = Counter()
+            for j in range(i, min(len(lines), i + 4)):
+                wc += Counter(lines[j].split())
+                f1 = round(2 * sum((ft & wc).values()) / max(1, sum(ft.values()) + sum(wc.values())), 9)
+                best = (f1, i, j) if f1 > best[0] else best
+        if best[0]:
+            want[ref] = best
+    assert got == want
+
+
+def test_coverage_report(spark):
+    rows = spark.createDataFrame([("pdf", 0.9), ("pdf", 0.5), ("txt", 0.8)], "format string, x double")
+    got = {x.format: (x.n, round(x.mean, 6), x.least, x.covered, x.below) for x in Q.coverage_report(rows, "format", "x").collect()}
+    assert got == {"pdf": (2, 0.7, 0.5, 1, 1), "txt": (1, 0.8, 0.8, 1, 0), None: (3, 0.733333, 0.5, 2, 1)}

@@ -16,8 +16,18 @@ def test_pool_tells_runs_apart(spark):
 def test_navigation(spark):
     m = spark.createDataFrame([("x/Акт 5348-У.pdf", "О рисках"), ("x/Обзор.pdf", "обзор"), ("x/Акт 1-И.pdf", None)], "doc_id string, title string")
     c = spark.createDataFrame([("x/Обзор.pdf", "Порядок расчёта норматива"), ("x/Обзор.pdf", "Приложение"), ("x/Акт 1-И.pdf", " Общие для всех слова "), ("x/Обзор.pdf", "Общие для всех слова"), (None, "Ничей раздел из слов")], "doc_id string, section string")
-    got = {(x.type, x.query) for x in J.navigation(m, c).collect()}
-    assert got == {("name", "Акт 5348-У"), ("name", "Обзор"), ("name", "Акт 1-И"), ("title", "О рисках"), ("code", "5348-У"), ("code", "1-И"), ("heading", "Порядок расчёта норматива")}
+    got = sorted((x.type, x.query) for x in J.navigation(m, c).collect())
+    want = sorted([("name", "Акт 5348-У"), ("name", "Обзор"), ("name", "Акт 1-И"), ("title", "О рисках"), ("code", "5348-У"), ("code", "1-И"), ("heading", "Порядок расчёта норматива")])
+    worded = {(kind, form.replace("{x}", x)): (kind, x) for kind, x in want for form in J.TEMPLATES[kind]}
+    assert sorted(worded[k] for k in got) == want
+    assert J.navigation(m.where("false"), c.where("false")).count() == 0
+
+
+def test_named_documents(spark):
+    m = spark.createDataFrame([(f"a/{n}.pdf",) for n in ("Акт 5348-У № 2", "Обзор obs_400", "Свод obs_400 2", "Акт 77-П", "Акт 77-П 1", "Акт 77-П 2", "Акт 77-П 3")], "doc_id string")
+    q = spark.createDataFrame([("q", "Где «obs_400», и что в 5348-у?"), ("r", "акт 77-П"), ("s", "обзор 400"), ("t", None), (None, "obs_400")], "qid string, query string")
+    got = sorted((x.qid, x.hit_no, x.doc_id) for x in J.named_documents(q, "qid", "query", m).collect())
+    assert got == [("q", 1, "a/Обзор obs_400.pdf"), ("q", 2, "a/Свод obs_400 2.pdf"), ("q", 3, "a/Акт 5348-У № 2.pdf")]  # four documents hold 77-П
 
 
 def test_ties_compare_with_the_first_of_their_group(spark):
