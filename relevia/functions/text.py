@@ -246,3 +246,67 @@ def interval_text(mean: Column, lo: Column, hi: Column, signed: bool = False) ->
 def any_of(values: Column, test: Callable[[Column], Column]) -> Column:
     """Whether a value passes; false for null and empty arrays."""
     return F.coalesce(F.exists(values, test), F.lit(False))
+
+
+def without(words: Column, stop: list[str]) -> Column:
+    """Words that aren't stop words."""
+    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+
+
+def dated_start(text: Column) -> Column:
+    """A leading ``от dd.mm.yyyy``, apart from the text: a struct of the date (null without one) and the rest."""
+    head = F.regexp_extract(text, r"^от\s+(\d{2}\.\d{2}\.\d{4})", 1)
+    rest = F.when(head == "", text).otherwise(F.trim(F.regexp_replace(text, r"^от\s+\d{2}\.\d{2}\.\d{4}", "")))
+    return F.struct(F.nullif(head, F.lit("")).alias("date"), rest.alias("rest"))
+
+
+def period_of(stem: Column) -> Column:
+    """Year and month at the end of a file stem such as ``name_2024_05``; null parts where they are missing."""
+    parts = F.regexp_extract(stem, r"(?:^|[^0-9])((?:19|20)[0-9]{2})[^0-9]?(0[1-9]|1[0-2])?$", 1), F.regexp_extract(stem, r"(?:^|[^0-9])(?:19|20)[0-9]{2}[^0-9]?(0[1-9]|1[0-2])$", 1)
+    return F.struct(*[F.nullif(x, F.lit("")).cast("int").alias(n) for x, n in zip(parts, ("year", "month"))])
+
+
+def header_pair(line: Column) -> Column:
+    """``key: value`` as a struct; without the sign the whole line is the key and the value empty."""
+    at = F.locate(": ", line)
+    return F.struct(F.when(at > 0, F.substring(line, F.lit(1), at - 1)).otherwise(line).alias("key"), F.when(at > 0, F.substring(line, at + 2, F.length(line))).otherwise("").alias("value"))
+
+
+def mentions_number(text: Column, number: Column) -> Column:
+    """Whether a text holds the part of an act number before its hyphen."""
+    return F.contains(text, F.substring_index(number, "-", 1))
+
+
+def is_shape(text: Column, shape: str) -> Column:
+    """Whether the whole text is an ISO ``date``, a ``year``, a raised digit (``note``) or a ``marker`` of a list."""
+    shapes = {"date": r"\d{4}-\d{2}-\d{2}", "year": "(?:19|20)[0-9]{2}", "note": "[⁰¹²³⁴⁵⁶⁷⁸⁹]+", "marker": r"(?:\d+(?:\.\d+)*[.)]|[-*•–—])"}
+    return text.rlike(f"^(?:{shapes[shape]})\\z")
+
+
+def heading(text: Column) -> Column:
+    """A heading without the dots at its end."""
+    return F.regexp_replace(text, r"\.+\z", "")
+
+
+def markdown_line(line: Column) -> Column:
+    """(kind, label, texts) of a Markdown line: row with its cells, head, num with its label, bullet, text; null for rules, blank
+    lines and the lines under a table's head."""
+    s = F.trim(F.regexp_replace(line, r"^\s*>\s?", ""))
+    cells = F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+    rule = F.forall(cells, lambda c: (c == "") | c.rlike("^:?-{2,}:?$"))
+    kind = F.when(s.startswith("|"), "row").when(s.rlike(r"^#+\s+"), "head").when(s.rlike(r"^\d+[.)]\s+"), "num").when(s.rlike(r"^[-*+]\s+"), "bullet").otherwise("text")
+    bare = F.regexp_replace(s, r"^(?:#+|\d+[.)]|[-*+])\s+", "")
+    texts = F.filter(F.transform(F.when(kind == "row", cells).otherwise(F.array(F.when(kind == "text", s).otherwise(bare))), markdown_plain), lambda t: t != "")
+    label = F.nullif(F.regexp_extract(s, r"^(\d+[.)])\s+", 1), F.lit(""))
+    nothing = (s == "") | s.rlike(r"^(?:-{3,}|\*{3,}|_{3,})$") | ((kind == "row") & rule)
+    return F.when(~nothing, F.struct(kind.alias("kind"), label.alias("label"), texts.alias("texts")))
+
+
+def markdown_plain(text: Column) -> Column:
+    """A Markdown text in plain words: links by their text, without emphasis and escapes, quotes and dashes of one kind, folded."""
+    t = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    t = F.regexp_replace(t, r"\*\*|__|`", "")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])[_*]+(?=\S)|(?<=\S)[_*]+(?![\p{L}\p{N}_])", "")
+    t = F.regexp_replace(t, r"\\([\\`*_{}\[\]()#+\-.!|>])", "$1")
+    t = F.translate(t, "\u00a0“”«»„‘’–—−‑", " \"\"\"\"\"''----")
+    return F.trim(F.lower(F.regexp_replace(F.replace(t, F.lit("…"), F.lit("...")), SPACE, " ")))

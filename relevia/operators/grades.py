@@ -118,4 +118,4 @@ def stratified(rows: DataFrame, stratum: str, key: str, total: int = 250, least:
     w = Window.partitionBy(stratum).orderBy(hash_order(F.col(key), seed=seed), key)
     nth = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max(total, least))
     quota = sizes.select(F.col(stratum).alias("__s"), take.alias("__k"))
-    return nth.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("__s"))).where("__r <= __k").drop("__r", "__s", "__k")
+    return nth.join(quota, F.col(stratum).eqNullSafe(F.col("__s"))).where("__r <= __k").drop("__r", "__s", "__k")

@@ -62,6 +62,17 @@ TEMPLATES = {
 }
 
 
+def shown(found: DataFrame, extra: DataFrame, k: int = 3, limit: int = 1500, most: int = 2) -> DataFrame:
+    """(pid, place, text): what an assessor sees of a pair: up to ``most`` fragments that the system gave (pid, place, text), then
+    the best passages (pid, rank, text), ``k`` and the number of fragments in all, each cut to ``limit`` characters and shown once."""
+    own = extra.where("text <> ''").withColumn("n", F.row_number().over(Window.partitionBy("pid").orderBy("place", "text"))).where(F.col("n") <= most)
+    number = own.groupBy("pid").agg(F.count(F.lit(1)).alias("extra"))
+    rows = own.select("pid", F.lit(0).alias("p"), F.col("n").alias("o"), F.left("text", F.lit(limit)).alias("text")).unionByName(found.select("pid", F.lit(1).alias("p"), F.col("rank").alias("o"), F.left("text", F.lit(limit)).alias("text")))
+    once = rows.groupBy("pid", "text").agg(F.min(F.struct("p", "o")).alias("at"))
+    placed = once.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy("at", "text"))).join(number, "pid", "left")
+    return placed.where(F.col("place") <= k + F.coalesce("extra", F.lit(0))).select("pid", "place", "text")
+
+
 def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text, T.SPACE, " ")), " "), 1, n), " ")
 
