@@ -17,6 +17,8 @@ class Consensus:
     labels: DataFrame  # item, label, confidence, n_votes
     annotators: DataFrame  # annotator, n_votes, reliability, bias
     agreement: DataFrame  # one row: n_items, observed, expected, kappa
+    rounds: int  # how many were needed
+    moved: float  # the largest move of a probability when it was last measured, every four rounds
 
 
 def _total(columns: list[Column]) -> Column:
@@ -78,13 +80,14 @@ def consensus(
         return s.select("i", "n", *[(e[k] / _total(e)).alias(f"p{k}") for k in ks])
 
     start = v.groupBy("i").agg(*[((F.sum(F.when(real & (F.col("l") == k), 1.0).otherwise(0.0)) + 0.1) / (F.sum("n") + 0.1 * classes)).alias(f"p{k}") for k in ks])
-    m = materialize(model(start))
+    m, moved, step = materialize(model(start)), float("inf"), -1
     for step in range(max_iter):
         new = materialize(model(posterior(m)))
         if step % 4 == 3:
             old = m.select("a", "l", *[F.col(f"m{k}").alias(f"o{k}") for k in ks])
             moved = new.join(old, ["a", "l"]).agg(F.max(F.greatest(*[F.abs(F.exp(f"m{k}") - F.exp(f"o{k}")) for k in ks]))).first()[0]
-            if moved is None or moved < tol:
+            moved = moved or 0.0
+            if moved < tol:
                 m = new
                 break
         m = new
@@ -101,7 +104,7 @@ def consensus(
     shift = _total([(F.col("l") - k) * F.col(f"c{k}") for k in ks])
     annotators = m.where(real).groupBy("a").agg(F.sum(mass).alias("n_votes"), F.sum(hits).alias("h"), F.sum(shift).alias("d"))
     annotators = annotators.select(F.col("a").alias(annotator), F.round("n_votes").cast("bigint").alias("n_votes"), F.try_divide("h", "n_votes").alias("reliability"), F.try_divide("d", "n_votes").alias("bias"))
-    return Consensus(labels, annotators, chance_corrected_agreement(given, "i", "l", classes))
+    return Consensus(labels, annotators, chance_corrected_agreement(given, "i", "l", classes), step + 1, moved)
 
 
 def chance_corrected_agreement(votes: DataFrame, item: str, label: str, classes: int = 4) -> DataFrame:

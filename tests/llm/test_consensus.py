@@ -32,6 +32,7 @@ def test_beats_majority_and_ranks_annotators(spark):
     assert min(trust["good1"], trust["good2"], trust["good3"]) > 0.75 > 0.5 > max(trust["invert"], trust["random"], trust["always2"])
     a = c.agreement.first()
     assert a.n_items == 300 and -1 < a.kappa < a.observed < 1
+    assert 4 <= c.rounds <= 24 and (c.moved < 1e-3 or c.rounds == 24)
 
 
 def test_nulls_impossible_labels_repeats_and_empty(spark):
