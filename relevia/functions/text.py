@@ -310,3 +310,21 @@ def markdown_plain(text: Column) -> Column:
     t = F.regexp_replace(t, r"\\([\\`*_{}\[\]()#+\-.!|>])", "$1")
     t = F.translate(t, "\u00a0“”«»„‘’–—−‑", " \"\"\"\"\"''----")
     return F.trim(F.lower(F.regexp_replace(F.replace(t, F.lit("…"), F.lit("...")), SPACE, " ")))
+
+
+def acts_in(text: Column) -> Column:
+    """Numbers of central-bank acts after № such as 716-П, without leading zeros, sorted and distinct."""
+    found = F.regexp_extract_all(text, F.lit(r"№\s*[0-9]{1,5}\s*[-‑–]\s*(?:ПР|МР|П|У|И|Т)(?![а-яА-ЯёЁ])"), 0)
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.concat(F.regexp_extract(x, "([0-9]+)", 1).cast("int").cast("string"), F.lit("-"), F.regexp_extract(x, "([А-Я]+)$", 1)))))
+
+
+def laws_in(text: Column) -> Column:
+    """Federal laws after № such as 115-ФЗ, and 395-1, sorted and distinct."""
+    federal = F.transform(F.regexp_extract_all(text, F.lit(r"№\s*([0-9]{1,4}(?:-[0-9])?)\s*[-‑–]\s*ФЗ"), 1), lambda x: F.concat(x, F.lit("-ФЗ")))
+    old = F.regexp_extract_all(text, F.lit(r"№\s*(395-1)(?![\p{L}\p{N}_])(?!\s*[-‑–]\s*ФЗ)"), 1)
+    return F.array_sort(F.array_distinct(F.concat(federal, old)))
+
+
+def long_words(text: Column, least: int = 5) -> Column:
+    """Distinct folded words of ``least`` letters or more."""
+    return F.array_distinct(F.regexp_extract_all(fold(text), F.lit(rf"\p{{L}}{{{least},}}"), 0))

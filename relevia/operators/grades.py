@@ -86,6 +86,18 @@ def second_opinions(pairs: DataFrame, key: str, share: float = 0.2, size: int =
     return batches(picked.select(key), key, size, seed + "/order")
 
 
+def to_verify(first: DataFrame, second: DataFrame, allowed: DataFrame | None = None, size: int = 40) -> DataFrame:
+    """(pid, batch): pairs whose first grade is relevant and that have no second opinion, without those of ``allowed`` (pid)."""
+    todo = first.where("grade >= 2").select("pid").join(second.select("pid"), "pid", "left_anti")
+    return batches(todo if allowed is None else todo.join(allowed.select("pid"), "pid", "left_anti"), "pid", size)
+
+
+def evidence(rows: DataFrame, qid: str, keys: str, manifest: DataFrame, grade: int = 3) -> DataFrame:
+    """(qid, doc_id, grade) of the documents whose key is among a question's evidence keys (an array)."""
+    asked = rows.where(F.col(qid).isNotNull()).select(F.col(qid).alias("qid"), F.explode(keys).alias("key")).distinct()
+    return asked.join(manifest.select("key", "doc_id").distinct(), "key").select("qid", "doc_id", F.lit(grade).alias("grade")).distinct()
+
+
 def rebatched(pairs: DataFrame, key: str, graded: DataFrame, needed: DataFrame, size: int = 40, seed: str = "20260925") -> DataFrame:
     """(key, part, batch): pairs (key, qid, doc_id) without a grade; those that ``needed`` (qid, doc_id) has come first (part p),
     the others second (part q), each part in batches of its own."""

@@ -36,9 +36,18 @@ def rerank(rows: DataFrame, by: list[str], order: list[str | Column]) -> DataFra
     return ranked.drop("pos") if "pos" in ranked.columns else ranked
 
 
-def answerable(grades: DataFrame) -> DataFrame:
-    """(qid) with a relevant document."""
-    return grades.where(F.col("grade") >= RELEVANT).select("qid").distinct()
+def answerable(grades: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """(qid) with a relevant document, except those of ``without`` (qid), such as questions that should have no answer."""
+    out = grades.where(F.col("grade") >= RELEVANT).select("qid").distinct()
+    return out if without is None else out.join(without.where("qid is not null").select("qid").distinct(), "qid", "left_anti")
+
+
+def narrowed(table: DataFrame, questions: DataFrame, scenario: int | None = None, dataset: str | None = None, part: str | None = None) -> DataFrame:
+    """The rows of ``table`` (qid, ...) whose question (qid, scenario, dataset and, if asked for, part) passes all filters given."""
+    q = questions
+    for column, value in (("scenario", scenario), ("dataset", dataset), ("part", part)):
+        q = q if value is None else q.where(F.col(column) == value)
+    return table.join(q.select("qid").distinct(), "qid", "left_semi")
 
 
 def indexed_answerable(grades: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -102,3 +102,23 @@ def rows_in_one(rows: DataFrame, units: DataFrame, cells: str, by: str) -> DataF
     met = parts.join(words, ["__b", "cell"]).groupBy("row", "unit", "n").agg(F.count_distinct("cell").alias("hits")).where("hits = n")
     full = met.select("row", F.lit(True).alias("held")).distinct()
     return r.select("row", F.size("c").alias("cells")).distinct().join(full, "row", "left").na.fill(False, ["held"])
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side) of the rows that only ``a`` or only ``b`` has; empty where both tables may be joined row by row."""
+    left, right = a.select(*keys).distinct(), b.select(*keys).distinct()
+    return left.exceptAll(right).withColumn("side", F.lit("a")).unionByName(right.exceptAll(left).withColumn("side", F.lit("b")))
+
+
+def parallel_lines(spans: DataFrame, lines: DataFrame) -> DataFrame:
+    """(ref, text): the lines (unit, line, text) of the same numbers as a span (ref, unit, first, last) of the parallel text."""
+    asked = spans.where("ref is not null").select("ref", "unit", F.explode(F.sequence("first", "last")).alias("line")).distinct()
+    met = asked.join(lines.select("unit", "line", "text").dropDuplicates(["unit", "line"]), ["unit", "line"])
+    return met.groupBy("ref").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))  # a span's lines
+
+
+def excluded_evidence(excluded: DataFrame, asked: DataFrame, reason: str) -> DataFrame:
+    """(qid, file, pages, answer) of the excluded questions (query, reason) whose reason matches: ``asked`` has qid, question,
+    answer and evidence, an array of (file, pages); questions are equal if they are without their outer blanks."""
+    lost = excluded.where(F.col("reason").rlike(reason)).select(F.trim("query").alias("q")).distinct()
+    return asked.withColumn("q", F.trim("question")).join(lost, "q", "left_semi").select("qid", "answer", F.explode("evidence").alias("e")).select("qid", "e.file", "e.pages", "answer")

@@ -78,38 +78,74 @@ def parents(chunks: DataFrame) -> DataFrame:
     return chunks.where("doc_id is not null").select("doc_id", p.alias("p")).groupBy("doc_id", F.col("p.unit").alias("unit"), F.col("p.key").alias("key")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
-def _split(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[tuple[int, str]]:
-    """Pieces of at most ``size`` characters with their places, cut at the first separator that a stretch holds."""
-    at, n = 0, len(text)
+def _split(text: str, size: int, overlap: int, separators: tuple[str, ...], keep: bool, tail: float) -> list[tuple[int, str]]:
+    """Pieces of at most ``size`` characters with their places, cut at the last place of the first separator that a stretch holds."""
+    at, n, out = 0, len(text), []
     while at < n:
-        end = min(at + size, n)
+        end = after = min(at + size, n)
         if end < n:
             for s in separators:
                 cut = text.rfind(s, at + size // 2, end)
                 if cut > at:
-                    end = cut + len(s)
+                    end, after = (cut + len(s) if keep else cut), cut + len(s)
                     break
-        yield at, text[at:end]
-        if end >= n:
-            return
-        at = max(end - overlap, at + 1)
-
-
-def split_texts(texts: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 100, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> DataFrame:
+        out.append((at, text[at:end]))
+        if after >= n:
+            break
+        at = max(after - overlap, at + 1)
+    if len(out) > 1 and len(out[-1][1]) < tail * size:
+        out[-2:] = [(out[-2][0], text[out[-2][0] :])]
+    return out
+
+
+def split_texts(
+    texts: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 100, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " "), keep: bool = True, tail: float = 0.0
+) -> DataFrame:
     """(key, idx, char_start, text): texts cut into overlapping pieces at paragraphs, lines, sentences or words.
 
+    With ``keep`` a piece ends with its separator. A last piece of less than ``tail`` of ``size`` joins the one before it.
     Null and empty texts give no piece; a text without separators is cut at ``size``."""
     kind = texts.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, i, s, p) for k, t in zip(f["key"], f["text"]) if t for i, (s, p) in enumerate(_split(t, size, overlap, separators))]
+            rows = [(k, i, s, p) for k, t in zip(f["key"], f["text"]) if t for i, (s, p) in enumerate(_split(t, size, overlap, separators, keep, tail))]
             yield pd.DataFrame(rows, columns=["key", "idx", "char_start", "text"]).astype({"idx": "int32", "char_start": "int32"})
 
     out = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, idx int, char_start int, text string")
     return out.withColumnRenamed("key", key)
 
 
+def _pieces(word: str, vocabulary: set[str]) -> int:
+    """How many pieces a word has by the longest pieces from the left; 1 for one that can't be made or has over 100 letters."""
+    if len(word) > 100:
+        return 1
+    n, at = 0, 0
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocabulary), at)
+        if end == at:
+            return 1
+        n, at = n + 1, end
+    return n
+
+
+def piece_counts(texts: DataFrame, key: str, text: str, vocabulary: set[str], most: int = 2048) -> DataFrame:
+    """(key, pieces): how many word pieces a text has with the two special ones, ``most`` at the most.
+
+    Words end at blanks, every punctuation mark is a piece; control and format characters don't count. Only distinct words
+    are cut; null texts have the two special pieces."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\t\n\r]", " "), r"[\x00\x{FFFD}\p{Cc}\p{Cf}]", "")
+    parts = F.regexp_extract_all(clean, F.lit(r"[\p{P}$+<=>^`|~]|[^\s\p{Z}\p{P}$+<=>^`|~]+"), 0)
+    rows = materialize(texts.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), parts.alias("w")))
+    words = rows.select("row", F.explode("w").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    count = F.pandas_udf(lambda s: s.map(lambda w: _pieces(w, shared.value)).astype("int32"), "int")
+    known = words.select("word").distinct().withColumn("pieces", count("word"))
+    sums = words.join(known, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("pieces"))
+    total = F.least(F.coalesce("pieces", F.lit(0)) + 2, F.lit(most)).cast("int")
+    return rows.join(sums, "row", "left").select(F.col("key").alias(key), total.alias("pieces"))
+
+
 def numbered(rows: DataFrame, order: list[str], name: str, prefix: str = "", width: int = 7) -> DataFrame:
     """``rows`` with consecutive names in an explicit total order, counted within ranges of it, nulls first.
 
@@ -146,7 +182,7 @@ def packed(texts: DataFrame, key: str, text: str, most: int = 3500) -> DataFrame
 
     A longer paragraph is a part of its own; paragraphs are separated by lines without anything on them; null and blank texts
     have no part. The running state is a fold over the numbers of words of a text, not its paragraphs."""
-    paras = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
+    paras = F.filter(F.split(text, r"\n\s*\n"), lambda p: p.rlike(r"[^\s\p{Z}]"))
     counts = F.transform(paras, lambda p: F.size(F.filter(F.split(p, T.SPACE), lambda w: w != "")))
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), counts.alias("c"))
     start = F.struct(F.lit(0).alias("part"), F.lit(0).alias("words"), F.array().cast("array<int>").alias("parts"))

@@ -39,7 +39,7 @@ HOPEFUL = """
 def slices(spark: SparkSession, sf: str, grades: DataFrame) -> DataFrame:
     """(qid, slice): total, scenario, dataset, format and source of the best-graded documents, and questions that name an act
     against the others; a question may fall into several slices."""
-    spine = R.answerable(grades)
+    spine = evaluation.spine(spark, sf, grades)
     q = table(spark, sf, "queries").where("qid is not null").groupBy("qid").agg(
         F.min("scenario").alias("scenario"), F.min("dataset").alias("dataset"), F.max(F.try_element_at("extras", F.lit("explicit_act")).isNotNull()).alias("named")
     )
@@ -62,8 +62,8 @@ def paired_slices(spark: SparkSession, sf: str) -> DataFrame:
     """Every run against the baseline in every slice: means, difference, difference if unjudged documents are right, wins,
     losses, equal lists, unjudged places."""
     g, r = evaluation.grades(spark, sf), evaluation.ranking(spark, sf)
-    per = R.per_query(r, g, R.answerable(g)).select("run_id", "qid", "ndcg", "unjudged")
-    hope = R.per_query(r, R.optimistic(r, g), R.answerable(g)).select("run_id", "qid", F.col("ndcg").alias("hope"))
+    per = R.per_query(r, g, evaluation.spine(spark, sf, g)).select("run_id", "qid", "ndcg", "unjudged")
+    hope = R.per_query(r, R.optimistic(r, g), evaluation.spine(spark, sf, g)).select("run_id", "qid", F.col("ndcg").alias("hope"))
     top = r.where("rank <= 10").groupBy("run_id", "qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("docs"))
     full = per.join(hope, ["run_id", "qid"]).join(top, ["run_id", "qid"], "left").withColumn("docs", F.coalesce("docs", F.array().cast("array<string>")))
     a = full.where(F.col("run_id") == BASELINE).select("qid", F.col("ndcg").alias("x"), F.col("hope").alias("hx"), F.col("unjudged").alias("ua"), F.col("docs").alias("da"))

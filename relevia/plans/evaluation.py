@@ -43,7 +43,7 @@ METRICS = """
                    count(*) filter (grade >= 2) as found, count(*) filter (grade is null) as unjudged from top group by 1, 2),
     ideal as (select qid, sum(case when i <= 10 then grade / log2(i + 1) else 0 end) as idcg, count(*) filter (grade >= 2) as rel
               from (select qid, grade, row_number() over (partition by qid order by grade desc) as i from grades) group by 1),
-    spine as (select distinct qid from grades where grade >= 2),
+    spine as (select distinct qid from grades where grade >= 2 and qid not in (select qid from queries where scenario = 6 and qid is not null)),
     per as (select n.run_id, s.qid, coalesce(dcg / nullif(idcg, 0), 0.0) as ndcg, cast(coalesce(hit_1, 0) as double) as hit_1, cast(coalesce(hit_k, 0) as double) as hit_k,
                    coalesce(1.0 / first, 0.0) as mrr, coalesce(found / nullif(rel, 0), 0.0) as recall, coalesce(unjudged, 0) as unjudged
             from spine s cross join (select distinct run_id from ranking) n join ideal using (qid) left join got g on g.run_id = n.run_id and g.qid = s.qid)"""
@@ -64,9 +64,14 @@ def grades(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(G.resolve(named, table(spark, sf, "judged")))
 
 
+def spine(spark: SparkSession, sf: str, g: DataFrame) -> DataFrame:
+    """Questions with a relevant document, without those of scenario 6, which should have no answer."""
+    return R.answerable(g, table(spark, sf, "queries").where("scenario = 6"))
+
+
 def per_query(spark: SparkSession, sf: str) -> DataFrame:
     g = grades(spark, sf)
-    return R.per_query(ranking(spark, sf), g, R.answerable(g))
+    return R.per_query(ranking(spark, sf), g, spine(spark, sf, g))
 
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +138,7 @@ def metrics_by_format(spark: SparkSession, sf: str) -> DataFrame:
     g = grades(spark, sf)
     best = g.groupBy("qid").agg(F.max("grade").alias("m")).where("m >= 2")
     primary = g.join(best, "qid").where("grade = m").select("qid", T.extension(F.col("doc_id")).alias("slice")).distinct()
-    per = R.per_query(ranking(spark, sf), g, R.answerable(g))
+    per = R.per_query(ranking(spark, sf), g, spine(spark, sf, g))
     return rounded(R.means(per.join(primary, "qid"), ["run_id", "slice"]), *R.METRICS)
 
 
@@ -189,13 +194,13 @@ def unjudged_documents(spark: SparkSession, sf: str) -> DataFrame:
             select distinct qid, doc_id, 2 from ranking r where rank <= 10 and not exists (select 1 from grades g where g.qid = r.qid and g.doc_id = r.doc_id)),
     ideal as (select qid, sum(case when i <= 10 then grade / log2(i + 1) else 0 end) as idcg from (select qid, grade, row_number() over (partition by qid order by grade desc) as i from opt) group by 1),
     got as (select run_id, qid, sum(grade / log2(rank + 1)) as dcg from ranking join opt using (qid, doc_id) where rank <= 10 group by 1, 2),
-    spine as (select distinct qid from grades where grade >= 2)
+    spine as (select distinct qid from grades where grade >= 2 and qid not in (select qid from queries where scenario = 6 and qid is not null))
     select n.run_id, count(*) as n, round(avg(coalesce(dcg / nullif(idcg, 0), 0.0)), 6) as ndcg
     from spine s cross join (select distinct run_id from ranking) n join ideal using (qid) left join got g on g.run_id = n.run_id and g.qid = s.qid group by 1""")
 def metrics_optimistic(spark: SparkSession, sf: str) -> DataFrame:
     """Mean nDCG if all unjudged documents were relevant."""
     g, r = grades(spark, sf), ranking(spark, sf)
-    return rounded(R.means(R.per_query(r, R.optimistic(r, g), R.answerable(g)), ["run_id"], ["ndcg"]), "ndcg")
+    return rounded(R.means(R.per_query(r, R.optimistic(r, g), spine(spark, sf, g)), ["run_id"], ["ndcg"]), "ndcg")
 
 
 @query(f"""with {GOLD},
@@ -208,6 +213,27 @@ def kappa(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.weighted_kappa(merged(spark, sf), "grade_a", "grade_b"), "exact", "kappa")
 
 
+KAPPA = """select count(*) as n, 1 - avg(pow((a - b) / 3, 2)) / nullif((select sum(pow((x.a - y.b) / 3, 2) * x.n * y.n) / (sum(x.n) * 1.0 / count(distinct y.b) * sum(y.n) / count(distinct x.a))
+    from (select a, count(*) as n from {0} group by 1) x, (select b, count(*) as n from {0} group by 1) y), 0) as kappa from {0}"""
+
+
+@query(f"""with {GOLD},
+    p as (select grade_a as a, grade_b as b from merged where grade_b is not null), z as (select * from p where greatest(a, b) >= 1), ka as ({KAPPA.format('p')}), kz as ({KAPPA.format('z')})
+    select (select n from ka) as pairs, round((select kappa from ka), 6) as kappa, round((select kappa from kz), 6) as kappa_relevant, round((select avg(case when a = b then 1.0 else 0.0 end) from p), 6) as exact,
+           (select count(*) from p where a <> b and greatest(a, b) >= 2) as conflicts, (select count(distinct pid) from judge_pair where pid is not null and pid not in (select pid from first_a)) as missing""")
+def agreement_record(spark: SparkSession, sf: str) -> DataFrame:
+    """The agreement of both opinions in one row: kappa over all pairs and over those that one calls at least slightly relevant,
+    equal grades, conflicts, pairs without a first opinion."""
+    m = merged(spark, sf).where("grade_b is not null")
+    both, some = G.weighted_kappa(m, "grade_a", "grade_b"), G.weighted_kappa(m.where("greatest(grade_a, grade_b) >= 1"), "grade_a", "grade_b")
+    lost = table(spark, sf, "judge_pair").where("pid is not null").select("pid").distinct().join(G.first_opinion(table(spark, sf, "grades_a")), "pid", "left_anti")
+    parts = [both.select(F.col("n").alias("pairs"), "kappa", "exact"), some.select(F.col("kappa").alias("kappa_relevant")), G.conflicts(m).agg(F.count(F.lit(1)).alias("conflicts")), lost.agg(F.count(F.lit(1)).alias("missing"))]
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.join(F.broadcast(one), F.lit(True))  # one row each
+    return rounded(out, "kappa", "kappa_relevant", "exact").select("pairs", "kappa", "kappa_relevant", "exact", "conflicts", "missing")
+
+
 @query(f"with {GOLD} select grade_a as a, grade_b as b, count(*) as n from merged where grade_b is not null group by 1, 2")
 def opinion_confusion(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of every pair of opinions."""

@@ -138,7 +138,13 @@ def text_defects(spark: SparkSession, sf: str) -> DataFrame:
     return Q.text_defects(table(spark, sf, "chunks"), F.split_part("doc_id", F.lit("/"), F.lit(1)), r"банк\s+россии")
 
 
-@query()
+@query(f"""with recursive {evaluation.RANKING},
+    l as (select run_id, qid, score, doc_id, row_number() over (partition by run_id, qid order by rank) as i from ranking where run_id in ('P3', 'P4') and rank <= 10 and score is not null),
+    g(run_id, qid, i, first, grp, doc_id) as (select run_id, qid, i, score, 1, doc_id from l where i = 1
+        union all select l.run_id, l.qid, l.i, case when abs(g.first - l.score) <= 1e-6 then g.first else l.score end, case when abs(g.first - l.score) <= 1e-6 then g.grp else g.grp + 1 end, l.doc_id
+        from g join l on l.run_id = g.run_id and l.qid = g.qid and l.i = g.i + 1),
+    k as (select run_id, qid, grp, list(doc_id order by doc_id) as docs from g group by 1, 2, 3), t as (select run_id, qid, list(docs order by grp) as groups from k group by 1, 2)
+    select a.qid, cast(len(a.groups) as integer) as groups_a, cast(len(b.groups) as integer) as groups_b, a.groups = b.groups as same from t a join t b using (qid) where a.run_id = 'P3' and b.run_id = 'P4'""")
 def tied_places(spark: SparkSession, sf: str) -> DataFrame:
     """Lists of two runs compared by groups of equal scores."""
     r = evaluation.ranking(spark, sf).where("run_id in ('P3', 'P4') and rank <= 10 and score is not null")
@@ -187,3 +193,14 @@ def rebatched_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs without a second opinion: those among the first ten of a run first, the others after them."""
     pairs = table(spark, sf, "judge_pair").where("pid is not null").select("pid", "qid", "doc_id").distinct()
     return G.rebatched(pairs, "pid", G.first_opinion(table(spark, sf, "grades_b")), evaluation.ranking(spark, sf).where("rank <= 10"))
+
+
+@query("""with a as (select pid, grade from grades_a where pid is not null and grade between 0 and 3 qualify row_number() over (partition by pid order by graded_at nulls last, coalesce(assessor, ''), grade) = 1),
+    ok as (select distinct pid from judge_pair p join judged j using (qid, doc_id) where j.grade is not null),
+    t as (select pid from a where grade >= 2 and pid not in (select pid from grades_b where pid is not null and grade between 0 and 3) and pid not in (select pid from ok where pid is not null))
+    select pid, cast((row_number() over (order by md5('20260925|' || pid), pid) - 1) // 40 as integer) as batch from t""")
+def pairs_to_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """Relevant pairs without a second opinion, except those that an earlier round has graded."""
+    a, b = (G.first_opinion(table(spark, sf, f"grades_{x}")) for x in "ab")
+    known = table(spark, sf, "judge_pair").select("pid", "qid", "doc_id").join(table(spark, sf, "judged").where("grade is not null").select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
+    return G.to_verify(a, b, known)

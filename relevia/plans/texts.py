@@ -74,7 +74,11 @@ def best_windows(spark: SparkSession, sf: str) -> DataFrame:
     return U.best_windows(near.join(facts, "ref").join(lines, "cid").select("ref", "fact", "lines"))
 
 
-@query()
+@query("""with recursive p as (select doc_id, list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_matches(x, '[^\\s\\p{Z}]')) as p from documents where text is not null),
+    c as (select doc_id, generate_subscripts(p, 1) as i, len(regexp_extract_all(unnest(p), '[^\\s\\p{Z}]+')) as n from p),
+    g(doc_id, i, part, words, n) as (select doc_id, i, 1, n, n from c where i = 1
+        union all select c.doc_id, c.i, case when g.words + c.n > 200 then g.part + 1 else g.part end, case when g.words + c.n > 200 then c.n else g.words + c.n end, c.n from g join c on c.doc_id = g.doc_id and c.i = g.i + 1)
+    select doc_id, part, count(*) as paragraphs, cast(sum(n) as bigint) as words from g group by 1, 2""")
 def packed_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs of the documents packed into parts of at most 200 words."""
     return U.packed(table(spark, sf, "documents"), "doc_id", "text", 200)

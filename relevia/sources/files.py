@@ -10,8 +10,11 @@ from io import BytesIO
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from relevia.functions import text as T
 
 # Schemas of the files.
 QUERIES = "qid string, query string, dataset string, scenario int, base string, extras map<string,string>"
@@ -60,43 +63,113 @@ def corpus_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = D
     return files.where(wanted).select("path", "length", F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"))
 
 
-class _Blocks(HTMLParser):
-    """Text blocks of a page: headings, paragraphs, items and cells outside of scripts, forms and page furniture."""
+def run_lines(spark: SparkSession, path: str, schema: str = RESPONSES) -> DataFrame:
+    """The JSON lines of a run; a run without a file is empty."""
+    try:
+        return json_lines(spark, path, schema)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def ordered_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``json_document`` over several files with ``batch``, the number of a row's file by name from 0."""
+    rows = json_document(spark, path, schema)
+    files = rows.select("file").distinct()
+    return rows.join(F.broadcast(files.withColumn("batch", F.row_number().over(Window.orderBy("file")) - 1)), "file")  # a row per file
+
+
+# What is left out of a page.
+SKIPPED = ("script", "style", "noscript", "form", "header", "footer", "nav")
+FURNITURE = ("breadcrumbs", "page-info", "b-share", "subscribe", "page-rating")
+NOISE = (
+    "Да Нет", "Отправить", "Ответ не помог решить проблему", "Ответ ссылается на неактуальные данные",
+    "Спасибо, что помогаете нам стать лучше!", "Пожалуйста, расскажите, почему вам не подошел этот ответ?",
+)
+VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
-    SKIP = {"script", "style", "noscript", "form", "header", "footer", "nav"}
-    BLOCK = {"h1", "h2", "h3", "h4", "p", "li", "td", "div", "main", "body"}
+
+class _Tree(HTMLParser):
+    """Walks a page with the open elements and their classes: ``before`` an element opens, ``enter`` once it is open, ``leave``
+    before it closes."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.hidden, self.in_title, self.title, self.blocks, self.now = 0, False, "", [], ""
+        self.open: list[tuple[str, frozenset[str]]] = []
 
-    def flush(self) -> None:
-        text = " ".join(self.now.split())
-        if text and not re.fullmatch(r"\d{1,3}", text) and (not self.blocks or self.blocks[-1] != text):
-            self.blocks.append(text)
-        self.now = ""
+    def inside(self, tags: tuple[str, ...] = (), classes: tuple[str, ...] = ()) -> bool:
+        return any(t in tags or c.intersection(classes) for t, c in self.open)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.hidden += tag in self.SKIP
-        self.in_title |= tag == "title"
-        if tag in self.BLOCK:
-            self.flush()
+        self.before(tag)
+        if tag not in VOID:
+            self.open.append((tag, frozenset((dict(attrs).get("class") or "").split())))
+        self.enter(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.hidden -= tag in self.SKIP and self.hidden > 0
-        self.in_title &= tag != "title"
+        if any(t == tag for t, _ in self.open):
+            while self.open:
+                last = self.open[-1][0]
+                self.leave(last)
+                self.open.pop()
+                if last == tag:
+                    break
+
+    def before(self, tag: str) -> None: ...
+
+    def enter(self, tag: str) -> None: ...
+
+    def leave(self, tag: str) -> None: ...
+
+
+class _Blocks(_Tree):
+    """Text blocks of a page: headings, paragraphs, items, cells and divisions, of ``main``, else of ``.page-content``, else of all."""
+
+    BLOCK = {"h1", "h2", "h3", "h4", "p", "li", "td", "div", "main", "body"}
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.titles: dict[str, str] = {}
+        self.closed: set[str] = set()
+        self.scopes: dict[str, list[str]] = {"all": []}
+        self.now = ""
+
+    def flush(self) -> None:
+        text, self.now = " ".join(self.now.split()), ""
+        scopes = ["all", *(["main"] if self.inside(("main",)) else []), *(["content"] if self.inside(classes=("page-content",)) else [])]
+        for scope in scopes:
+            blocks = self.scopes.setdefault(scope, [])
+            if text and (not blocks or blocks[-1] != text):
+                blocks.append(text)
+
+    def before(self, tag: str) -> None:
         if tag in self.BLOCK:
             self.flush()
 
+    def leave(self, tag: str) -> None:
+        self.before(tag)
+        if tag in self.titles:
+            self.closed.add(tag)
+
     def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title += data
-        elif not self.hidden:
-            self.now += data
+        if not self.inside(SKIPPED):
+            for tag in ("h1", "title"):
+                if self.inside((tag,)) and tag not in self.closed:
+                    self.titles[tag] = self.titles.get(tag, "") + " " + data
+            if not self.inside(("title",), FURNITURE):
+                self.now += " " + data
+
+    def result(self) -> tuple[str, list[str]]:
+        self.flush()
+        blocks = self.scopes.get("main", self.scopes.get("content", self.scopes["all"]))
+        kept = [b for b in blocks if b not in NOISE and not re.fullmatch(r"\d{1,3}", b)]
+        return " ".join(self.titles.get("h1", self.titles.get("title", "")).split()), kept
 
 
 def page_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, title, blocks) of HTML pages; equal neighbouring blocks count once; null pages are left out."""
+    """(key, title, blocks) of HTML pages: the first heading, else the page's title, and its blocks of text.
+
+    Equal neighbouring blocks count once; blocks of one to three digits and fixed phrases of page furniture are left out, as
+    are null pages."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,14 +178,78 @@ def page_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
             for k, h in zip(f["key"], f["html"]):
                 p = _Blocks()
                 p.feed(h)
-                p.flush()
-                out.append((k, " ".join(p.title.split()), p.blocks))
+                out.append((k, *p.result()))
             yield pd.DataFrame(out, columns=["key", "title", "blocks"])
 
     rows = pages.where(F.col(html).isNotNull()).select(F.col(key).alias("key"), F.col(html).alias("html"))
     return rows.mapInPandas(run, f"key {kind}, title string, blocks array<string>").withColumnRenamed("key", key)
 
 
+class _Questions(_Tree):
+    """Blocks ``div.dropdown.question``: number, topic, and what stands before and after the title ``Ответ``."""
+
+    RAISED = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.found: list[dict[str, str]] = []
+
+    def place(self) -> str | None:
+        for name, part in (("dropdown_content_title", "head"), ("question_num", "num"), ("question_title", "topic")):
+            if self.inside(classes=(name,)):
+                return part
+        return ("answer" if "Ответ" in self.found[-1]["head"] else "question") if self.inside(classes=("dropdown_content",)) else None
+
+    def enter(self, tag: str) -> None:
+        if tag == "div" and self.open and {"dropdown", "question"} <= self.open[-1][1]:
+            self.found.append(dict.fromkeys(("num", "topic", "head", "question", "answer"), ""))
+        elif self.found and tag in ("p", "li", "div", "td", "br") and (part := self.place()) in ("question", "answer"):
+            self.found[-1][part] += "\n"
+
+    def handle_data(self, data: str) -> None:
+        if self.found and self.inside(classes=("question",)) and (part := self.place()):
+            self.found[-1][part] += data.translate(self.RAISED) if self.inside(("sup",)) else data
+
+
+def page_questions(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, num, topic, question_date, question, answer_date, answer_number, answer, acts, laws) of the question blocks of
+    HTML pages; a date and a number at the beginning stand apart; raised digits stay raised; null pages are left out."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def tidy(text: str) -> str:
+        return "\n".join(line for line in (" ".join(x.split()) for x in text.split("\n")) if line)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k, h in zip(f["key"], f["html"]):
+                p = _Questions()
+                p.feed(h)
+                out += [(k, i, *(tidy(q[c]) for c in ("num", "topic", "question", "answer"))) for i, q in enumerate(p.found)]
+            yield pd.DataFrame(out, columns=["key", "pos", "num", "topic", "q", "a"]).astype({"pos": "int32"})
+
+    rows = pages.where(F.col(html).isNotNull()).select(F.col(key).alias("key"), F.col(html).alias("html"))
+    found = rows.mapInPandas(run, f"key {kind}, pos int, num string, topic string, q string, a string")
+    asked, said, number = T.dated_start(F.col("q")), T.dated_start(F.col("a")), r"^№\s*(\S+)"
+    plain = F.when(said["date"].isNotNull(), F.trim(F.regexp_replace(said["rest"], number, ""))).otherwise(F.col("a"))
+    return found.select(
+        F.col("key").alias(key), "pos", F.nullif("num", F.lit("")).alias("num"), F.nullif("topic", F.lit("")).alias("topic"), asked["date"].alias("question_date"), asked["rest"].alias("question"),
+        said["date"].alias("answer_date"), F.when(said["date"].isNotNull(), F.nullif(F.regexp_extract(said["rest"], number, 1), F.lit(""))).alias("answer_number"), plain.alias("answer"),
+        T.acts_in(plain).alias("acts"), T.laws_in(plain).alias("laws"),
+    )
+
+
+def table_bodies(rows: DataFrame) -> DataFrame:
+    """(path, tbl, row, cells, heads) of the body rows of tables as ``docx_rows`` gives them: the different cells with words, and
+    the labels of the first row over the columns with a value. Rows of one cell and rows of column numbers are left out."""
+    head = rows.where("row = 0").select("path", "tbl", F.col("cells").alias("h"))
+    word = lambda c: c.rlike(r"[\p{L}\p{N}_]")
+    cells = F.array_distinct(F.filter("cells", word))
+    heads = F.array_distinct(F.filter(F.zip_with("h", "cells", lambda h, c: F.when(c != "", h)), lambda h: h.isNotNull() & (h != "")))
+    body = rows.where("row > 0").join(head, ["path", "tbl"]).select("path", "tbl", "row", cells.alias("cells"), heads.alias("heads"))
+    return body.where((F.size("cells") > 1) & ~F.forall("cells", lambda c: c.rlike("^[0-9]{1,2}[а-я]?$")))
+
+
 def docx_rows(spark: SparkSession, path: str) -> DataFrame:
     """(path, tbl, row, cells) of the tables in DOCX files: spanned cells once per column, nested tables and single cells left out.
 

@@ -117,3 +117,17 @@ def test_samples_batches_and_inherited_grades(spark):
     assert {tuple(x) for x in G.inherited(g, v).collect()} == {("v1", "d1", 3), ("v1", "d2", 1)}
     c = G.cited(spark.createDataFrame([("s", "1-И", ["1-И", "2-П"]), ("t", None, ["9-У"])], "source string, own string, refs array<string>"), spark.createDataFrame([("a", "1-И"), ("b", "2-П")], "doc_id string, number string"))
     assert {tuple(x) for x in c.collect()} == {("s", "a", 3), ("s", "b", 2)}
+
+
+def test_evidence_verification_and_narrowing(spark):
+    m = spark.createDataFrame([("k1", "d1"), ("k2", "d2")], "key string, doc_id string")
+    rows = spark.createDataFrame([("q", ["k1", "k1", "zz"]), ("r", []), (None, ["k2"])], "qid string, keys array<string>")
+    assert [tuple(x) for x in G.evidence(rows, "qid", "keys", m).collect()] == [("q", "d1", 3)]
+    a = spark.createDataFrame([("p1", 3), ("p2", 2), ("p3", 1), ("p4", 2)], "pid string, grade int")
+    got = G.to_verify(a, a.where("pid = 'p2'"), a.where("pid = 'p4'")).collect()
+    assert [(x.pid, x.batch) for x in got] == [("p1", 0)]
+    q = spark.createDataFrame([("q", 1, "x", "dev"), ("r", 2, "x", "dev"), ("s", 1, "y", "test")], "qid string, scenario int, dataset string, part string")
+    t = q.select("qid")
+    assert [x.qid for x in R.narrowed(t, q, scenario=1, dataset="x").collect()] == ["q"] and R.narrowed(t, q, part="dev").count() == 2 and R.narrowed(t, q).count() == 3
+    g = spark.createDataFrame([("q", "d", 2), ("r", "d", 3), ("s", "d", 1)], "qid string, doc_id string, grade int")
+    assert [x.qid for x in R.answerable(g, q.where("scenario = 2")).collect()] == ["q"]

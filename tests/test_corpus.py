@@ -153,3 +153,17 @@ def test_coverage_report(spark):
     rows = spark.createDataFrame([("pdf", 0.9), ("pdf", 0.5), ("txt", 0.8)], "format string, x double")
     got = {x.format: (x.n, round(x.mean, 6), x.least, x.covered, x.below) for x in Q.coverage_report(rows, "format", "x").collect()}
     assert got == {"pdf": (2, 0.7, 0.5, 1, 1), "txt": (1, 0.8, 0.8, 1, 0), None: (3, 0.733333, 0.5, 2, 1)}
+
+
+def test_splitter_tail_and_separators(spark):
+    t = spark.createDataFrame([(1, "аб вг дe жз и"), (2, "длинноеслово")], "k int, t string")
+    got = {(x.k, x.idx): x.text for x in U.split_texts(t, "k", "t", 6, 0, (" ",), keep=False).collect()}
+    assert got == {(1, 0): "аб вг", (1, 1): "дe жз", (1, 2): "и", (2, 0): "длинно", (2, 1): "еслово"}
+    tail = {(x.k, x.idx): x.text for x in U.split_texts(t, "k", "t", 6, 0, (" ",), tail=0.5).collect()}
+    assert tail == {(1, 0): "аб вг ", (1, 1): "дe жз и", (2, 0): "длинно", (2, 1): "еслово"}
+
+
+def test_word_pieces(spark):
+    v = {"кот", "##ик", "##и", "дом", ",", "a"}
+    t = spark.createDataFrame([(1, "котики, дом!​"), (1, "zzz a"), (2, None), (3, "кот" * 40), (4, "a " * 3000)], "k int, t string")
+    assert sorted((x.k, x.pieces) for x in U.piece_counts(t, "k", "t", v).collect()) == [(1, 4), (1, 8), (2, 2), (3, 3), (4, 2048)]

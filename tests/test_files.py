@@ -43,7 +43,7 @@ def test_documents_csv_and_hashes(spark, tmp_path):
 def test_pages_and_tables(spark, tmp_path):
     html = "<title>T <b>x</b></title><body><nav>menu</nav><h1>Head</h1><p>One</p><p>One</p><p>12</p><script>no()</script><li>Two  words</li></body>"
     got = {r.k: (r.title, r.blocks) for r in files.page_texts(spark.createDataFrame([(1, html), (2, None), (3, "")], "k long, html string"), "k", "html").collect()}
-    assert got == {1: ("T x", ["Head", "One", "Two words"]), 3: ("", [])}
+    assert got == {1: ("Head", ["Head", "One", "Two words"]), 3: ("", [])}
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     cell = lambda t, s="": f"<w:tc>{s}<w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
     body = f"<w:tbl><w:tr>{cell('a')}{cell('b', '<w:tcPr><w:gridSpan w:val=' + chr(34) + '2' + chr(34) + '/></w:tcPr>')}</w:tr><w:tr>{cell('alone')}</w:tr></w:tbl>"
@@ -76,3 +76,36 @@ def test_append_once(spark, tmp_path):
     for rows in ([("r", "a", 1.0), ("r", "a", 1.0)], [("r", "a", 2.0), ("r", "b", 1.0)]):
         sinks.append_new(spark.createDataFrame(rows, "run_id string, qid string, ms double"), target, ["run_id", "qid"])
     assert sorted((r.qid, r.ms) for r in spark.read.parquet(target).collect()) == [("a", 1.0), ("b", 1.0)]
+
+
+def test_scopes_noise_and_titles_of_pages(spark):
+    page = """<html><head><title>Сайт</title></head><body><header><h1>Шапка</h1></header><p>Перед</p><main><h1>Заголовок <b>главы</b></h1>
+      <div class="breadcrumbs"><p>Главная</p></div><p>Один<br>два</p><p>Один два</p><ul><li>три</li><li>7</li></ul><p>Отправить</p><div>четыре<script>x</script></div></main><p>После</p></body></html>"""
+    other = '<body><p>Вне</p><div class="x page-content"><p>Внутри</p></div></body>'
+    rows = [(1, page), (2, other), (3, "<p>просто"), (4, "")]
+    got = {r.k: (r.title, r.blocks) for r in files.page_texts(spark.createDataFrame(rows, "k int, html string"), "k", "html").collect()}
+    assert got[1] == ("Заголовок главы", ["Заголовок главы", "Один два", "три", "четыре"])
+    assert got[2] == ("", ["Внутри"]) and got[3] == ("", ["просто"]) and got[4] == ("", [])
+
+
+def test_question_blocks(spark):
+    page = """<div class="dropdown question"><span class="question_num">5</span><div class="question_title">О <i>расчёте</i></div><div class="dropdown_content">
+      <div class="dropdown_content_title">Вопрос</div><p>от 01.02.2023 Как считать x<sup>2</sup>?</p><div class="dropdown_content_title">Ответ</div>
+      <p>от 05.02.2023 № 41-1/2 Согласно Инструкции № 0199-И и закону № 395-1</p><p>и № 115-ФЗ.</p></div></div>
+      <div class="dropdown question"><div class="dropdown_content"><p>Без ответа</p></div></div>"""
+    got = files.page_questions(spark.createDataFrame([(1, page), (2, None), (3, "<p>x</p>")], "k int, html string"), "k", "html").orderBy("pos").collect()
+    a, b = got
+    assert (a.num, a.topic, a.question_date, a.question, a.answer_date, a.answer_number) == ("5", "О расчёте", "01.02.2023", "Как считать x²?", "05.02.2023", "41-1/2")
+    assert a.answer == "Согласно Инструкции № 0199-И и закону № 395-1\nи № 115-ФЗ." and a.acts == ["199-И"] and a.laws == ["115-ФЗ", "395-1"]
+    assert (b.num, b.question, b.answer, b.acts) == (None, "Без ответа", "", [])
+
+
+def test_table_bodies_runs_and_batches(spark, tmp_path):
+    rows = [("p", 0, 0, ["Показатель", "2024", "2025"]), ("p", 0, 1, ["1", "2", "3"]), ("p", 0, 2, ["Ставка", "7", ""]), ("p", 0, 3, ["итого", "итого", "итого"]), ("q", 0, 0, ["a", "b"])]
+    got = files.table_bodies(spark.createDataFrame(rows, "path string, tbl int, row int, cells array<string>")).collect()
+    assert [(x.row, x.cells, x.heads) for x in got] == [(2, ["Ставка", "7"], ["Показатель", "2024"])]
+    assert files.run_lines(spark, str(tmp_path / "none.jsonl")).count() == 0
+    for name, n in (("b", 2), ("a", 1)):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"pid": name, "grade": i} for i in range(n)]))
+    got = files.ordered_batches(spark, str(tmp_path / "*.json"), "pid string, grade int").collect()
+    assert {(x.batch, x.pid, x.grade) for x in got} == {(0, "a", 0), (1, "b", 0), (1, "b", 1)}

@@ -79,3 +79,14 @@ def test_fallback_and_shown_passages(spark):
     extra = spark.createDataFrame([("p", 1, "aaaY"), ("p", 2, ""), ("p", 3, "eee"), ("p", 4, "fff")], "pid string, place int, text string")
     shown = {(x.pid, x.place): x.text for x in J.shown(found, extra, 2, 3).collect()}
     assert shown == {("p", 1): "aaa", ("p", 2): "eee", ("p", 3): "bbb", ("p", 4): "ccc", ("s", 1): "z"}
+
+
+def test_positional_joins(spark):
+    a, b = spark.createDataFrame([("x", 1), ("x", 2)], "p string, i int"), spark.createDataFrame([("x", 1), ("y", 1)], "p string, i int")
+    assert {tuple(x) for x in O.same_keys(a, b, ["p", "i"]).collect()} == {("x", 2, "a"), ("y", 1, "b")} and O.same_keys(a, a, ["p", "i"]).count() == 0
+    lines = spark.createDataFrame([("u", i, f"строка {i}") for i in range(5)] + [("u", 1, "строка 1")], "unit string, line int, text string")
+    spans = spark.createDataFrame([("r", "u", 1, 2), ("s", "v", 0, 1)], "ref string, unit string, first int, last int")
+    assert [tuple(x) for x in O.parallel_lines(spans, lines).collect()] == [("r", "строка 1\nстрока 2")]
+    ex = spark.createDataFrame([(" Вопрос? ", "скан без слоя"), ("Другой?", "нет акта")], "query string, reason string")
+    asked = spark.createDataFrame([("q1", "Вопрос?", "да", [("f1", "1-2"), ("f2", "3")]), ("q2", "Другой?", "нет", [("f3", "1")])], "qid string, question string, answer string, evidence array<struct<file:string,pages:string>>")
+    assert {tuple(x) for x in O.excluded_evidence(ex, asked, "скан").collect()} == {("q1", "f1", "1-2", "да"), ("q1", "f2", "3", "да")}
