@@ -122,3 +122,18 @@ def excluded_evidence(excluded: DataFrame, asked: DataFrame, reason: str) -> Dat
     answer and evidence, an array of (file, pages); questions are equal if they are without their outer blanks."""
     lost = excluded.where(F.col("reason").rlike(reason)).select(F.trim("query").alias("q")).distinct()
     return asked.withColumn("q", F.trim("question")).join(lost, "q", "left_semi").select("qid", "answer", F.explode("evidence").alias("e")).select("qid", "e.file", "e.pages", "answer")
+
+
+def run_parameters(states: DataFrame) -> DataFrame:
+    """(run_id, parameters): how the text index of a run (run_id, emulation, indices) was made: the map of its emulation, else the
+    details of its first index of type FTS, else null."""
+    details = F.get(F.transform(F.filter("indices", lambda i: i["type"] == "FTS"), lambda i: i["details"]), F.lit(0))
+    return states.select("run_id", F.coalesce("emulation", details).alias("parameters"))
+
+
+def missing_designations(asked: DataFrame, gold: DataFrame, held: DataFrame) -> DataFrame:
+    """(qid, number): designations of a question (qid, number) that none of its right documents (qid, doc_id) holds, by
+    ``held`` (doc_id, number); questions without a right document are left out."""
+    q = asked.where("qid is not null and number is not null").select("qid", "number").distinct().join(gold.select("qid").distinct(), "qid", "left_semi")
+    found = q.join(gold.select("qid", "doc_id").distinct(), "qid").join(held.select("doc_id", "number").distinct(), ["doc_id", "number"], "left_semi")
+    return q.join(found.select("qid", "number").distinct(), ["qid", "number"], "left_anti")

@@ -146,3 +146,13 @@ def hybrid_with_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return S.with_fallback(search.nearest(spark, sf, 50), S.bm25(docs, "doc_id", "text", asked, "doc_id", "title", k=50))
 
 
+@query(f"""with {evaluation.GOLD},
+    q as (select distinct qid, unnest(regexp_extract_all(lower(query), '[0-9]{{1,5}}-[а-я]{{1,3}}')) as number from queries where qid is not null), g as (select distinct qid, doc_id from grades where grade >= 2),
+    h as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[0-9]{{1,5}}-[а-я]{{1,3}}')) as number from chunks where doc_id is not null and text is not null)
+    select qid, number from q where qid in (select qid from g) and not exists (select 1 from g join h using (doc_id) where g.qid = q.qid and h.number = q.number)""")
+def missing_designations(spark: SparkSession, sf: str) -> DataFrame:
+    """Act numbers of a question that none of its relevant documents mentions."""
+    numbers = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[0-9]{1,5}-[а-я]{1,3}"), 0)).alias("number")
+    asked = table(spark, sf, "queries").select("qid", numbers(F.col("query")))
+    held = table(spark, sf, "chunks").where("doc_id is not null and text is not null").select("doc_id", numbers(F.col("text")))
+    return O.missing_designations(asked, evaluation.grades(spark, sf).where("grade >= 2"), held)

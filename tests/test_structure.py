@@ -90,3 +90,13 @@ def test_positional_joins(spark):
     ex = spark.createDataFrame([(" Вопрос? ", "скан без слоя"), ("Другой?", "нет акта")], "query string, reason string")
     asked = spark.createDataFrame([("q1", "Вопрос?", "да", [("f1", "1-2"), ("f2", "3")]), ("q2", "Другой?", "нет", [("f3", "1")])], "qid string, question string, answer string, evidence array<struct<file:string,pages:string>>")
     assert {tuple(x) for x in O.excluded_evidence(ex, asked, "скан").collect()} == {("q1", "f1", "1-2", "да"), ("q1", "f2", "3", "да")}
+
+
+def test_run_parameters_and_missing_designations(spark):
+    kind = "run_id string, emulation map<string,string>, indices array<struct<type:string,details:map<string,string>>>"
+    runs = spark.createDataFrame([("a", {"stem": "1"}, [("FTS", {"stem": "0"})]), ("b", None, [("IVF", {"x": "y"}), ("FTS", {"stem": "0"})]), ("c", None, None), ("d", None, [])], kind)
+    assert {x.run_id: x.parameters for x in O.run_parameters(runs).collect()} == {"a": {"stem": "1"}, "b": {"stem": "0"}, "c": None, "d": None}
+    asked = spark.createDataFrame([("q", "1-И"), ("q", "2-П"), ("q", "2-П"), ("r", "1-И"), (None, "1-И"), ("s", None)], "qid string, number string")
+    gold = spark.createDataFrame([("q", "a"), ("q", "b"), ("s", "a")], "qid string, doc_id string")
+    held = spark.createDataFrame([("b", "1-И"), ("c", "2-П")], "doc_id string, number string")
+    assert [tuple(x) for x in O.missing_designations(asked, gold, held).collect()] == [("q", "2-П")]
