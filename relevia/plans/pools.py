@@ -117,6 +117,14 @@ def overlapping_pages(spark: SparkSession, sf: str) -> DataFrame:
     return U.overlapping_pages(c, c.where("kind = 'notes'").select(F.col("cid").alias("span"), "doc_id", "page_start", "page_end"))
 
 
+@query(f"""with t as (select distinct cid, {NORM.format('text')} as low, list_transform(list_filter({TOK.format("regexp_replace(title, '\\.(pdf|docx|pptx|txt|xlsx)$', '')")}, lambda x: length(x) >= 4 and not regexp_matches(x, '^[0-9]+$')), lambda x: left(x, 5))[1:6] as stems,
+                 doc_id, title, text from chunks where title is not null and text is not null)
+    select cid, len(stems) > 0 and len(list_filter(stems, lambda s: contains(low, s))) * 2 >= len(stems) as has_title from t""")
+def title_in_chunk(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a chunk speaks of its document's title."""
+    return Q.context(table(spark, sf, "chunks").select("cid", "doc_id", "title", "text").distinct()).select("cid", "has_title")
+
+
 @query(f"""with t as (select distinct cid, doc_id, title, {NORM.format('text')} as low, {NORM.format('title')} as name from chunks where title is not null and text is not null),
     w as (select *, list_transform(list_filter({TOK.format("regexp_replace(title, '\\.(pdf|docx|pptx|txt|xlsx)$', '')")}, lambda x: length(x) >= 4 and not regexp_matches(x, '^[0-9]+$')), lambda x: left(x, 5))[1:6] as stems,
                  nullif(regexp_extract(' ' || name || ' ', '[^0-9]([0-9]{{1,5}}-[а-я]{{1,3}})[^а-я]', 1), '') as number, nullif(regexp_extract(' ' || title || ' ', '[^0-9]((?:19|20)[0-9]{{2}})[^0-9]', 1), '') as year from t)
